@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricframe.llm import bpe, fingerprint, langid, secrets, simhash, urlfilter
+from metricframe.llm import bpe, decontaminate, fingerprint, langid, secrets, simhash, urlfilter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
@@ -72,8 +72,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_byte_bpe, op4_fingerprint, op6_language, op7_secrets, op8_simhash)}
+    return {f.__name__: f for f in (op1_url_filter, op2_byte_bpe, op4_fingerprint, op6_language, op7_secrets, op8_simhash, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,6 +40,8 @@ PRINT_CELLS = TABLES * PRINT_WIDTH
 #: Cells a table for each paragraph of both versions, and at least; what a retry multiplies them by.
 SPARE, LEAST, RETRY = 2, 64, 4
 ROUNDS = 2
+#: Ranges for each shuffle partition: the cells of a range are many times its texts' digests.
+RANGES = 4
 _LOWEST = -(2**63)
 
 
@@ -75,8 +77,11 @@ def sketch_text(digests: Column) -> Column:
 
 def _next_texts(docs: DataFrame, text: str, doc_id: str, ranges: int) -> DataFrame:
     """``(range, rn, doc_id, text, next_text)``: in descending ``doc_id``, the first follows the last."""
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    base = base.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)))
+    # A null doc_id is the lowest key; the key stands for it, so that all that is read from a
+    # range's partition is the same columns and one exchange serves every reader.
+    base = docs.select(
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOWEST)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    )
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = base.agg(F.percentile_approx("key", cuts or [0.5], 10_000)).first()[0] or []
     bounds = sorted(set(bounds)) if cuts else []
@@ -92,7 +97,8 @@ def _next_texts(docs: DataFrame, text: str, doc_id: str, ranges: int) -> DataFra
     order = Window.partitionBy("range").orderBy("guest", F.desc("key"), "text")
     spread = rows.repartition(ranges, "range")
     led = spread.withColumn("rn", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
-    return led.filter("guest = 0").select("range", "rn", "doc_id", "text", "next_text")
+    named = F.when(F.col("key") != _LOWEST, F.col("key")).alias("doc_id")
+    return led.filter("guest = 0").select("range", "rn", named, "text", "next_text")
 
 
 def _compared(pairs: DataFrame, scale: int) -> DataFrame:
@@ -209,7 +215,7 @@ def fingerprint_versions(docs: DataFrame, text: str = "text", doc_id: str = "doc
     ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``,
     ``near_edited`` and ``near_next``.
     """
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     led = _next_texts(docs, text, doc_id, ranges)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.substring(F.col("next_text"), F.lit(1), half))
