@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricframe.llm.textbuf import LOWER, SPACES, lots, mix, span_hashes
+from metricframe.llm.textbuf import LOWER, SPACES, lots, minimisers, mix, span_hashes
 
 SIMILARITY, RECALL = 0.8, 0.99
 WINDOW, SHORTEST = 64, 16
@@ -88,27 +88,6 @@ def starts_of(raw: np.ndarray, offsets: np.ndarray, neighbours: int = NEIGHBOURS
     return at[minimisers(hashes, neighbours)]
 
 
-def minimisers(values: np.ndarray, width: int) -> np.ndarray:
-    """Which values are the least of some ``width`` consecutive ones (or of all, if they are fewer)."""
-    width = min(width, len(values))
-    if width <= 1:
-        return np.ones(len(values), bool)
-    least = sliding(values, width, np.minimum)
-    top = np.uint64(0)
-    padded = np.concatenate([np.full(width - 1, top), least, np.full(width - 1, top)])
-    return values == sliding(padded, width, np.maximum)
-
-
-def sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
-    """``best`` over each ``width`` consecutive values."""
-    out, have = values, 1
-    while have < width:
-        step = min(have, width - have)
-        out = best(out[:-step], out[step:])
-        have += step
-    return out
-
-
 @dataclass(frozen=True)
 class Walks:
     """The random choices of all repetitions: bits (repetition, step, character) and sampled steps."""

@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricframe.llm import bpe, decontaminate, fingerprint, langid, secrets, simhash, urlfilter
+from metricframe.llm import bpe, decontaminate, fingerprint, langid, licenses, secrets, simhash, suffixes, urlfilter
+from metricframe.llm.storage import importable
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +48,10 @@ def fold(doc_id: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3, F.lit(0))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(fold() != 1).select("doc_id", "text", "lang"))
@@ -76,8 +82,26 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeats(table(spark, sf_dir, "documents"))
+    words = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", F.size("spans").alias("n_spans"), words.alias("repeated_words"), listed.alias("spans"), "twin")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_byte_bpe, op4_fingerprint, op6_language, op7_secrets, op8_simhash, op9_decontaminate)}
+    made = (
+        op1_url_filter,
+        op2_byte_bpe,
+        op4_fingerprint,
+        op5_licenses,
+        op6_language,
+        op7_secrets,
+        op8_simhash,
+        op9_decontaminate,
+        op10_suffixes,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:

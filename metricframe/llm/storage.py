@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +48,12 @@ def release(df: DataFrame) -> None:
     jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(hadoop).delete(target, True)
+
+
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, wherever they are started."""
+    environment = spark.sparkContext.environment
+    home = str(Path(__file__).resolve().parents[2])
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])

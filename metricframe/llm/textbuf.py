@@ -96,3 +96,24 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     at = np.arange(n)
     whole = at + width <= owner_end
     return span_hashes(hashes, at, np.minimum(at + width, n)), whole
+
+
+def minimisers(values: np.ndarray, width: int) -> np.ndarray:
+    """Which values are the least of some ``width`` consecutive ones (or of all, if they are fewer)."""
+    width = min(width, len(values))
+    if width <= 1:
+        return np.ones(len(values), bool)
+    least = sliding(values, width, np.minimum)
+    top = np.uint64(0)
+    padded = np.concatenate([np.full(width - 1, top), least, np.full(width - 1, top)])
+    return values == sliding(padded, width, np.maximum)
+
+
+def sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """``best`` over each ``width`` consecutive values."""
+    out, have = values, 1
+    while have < width:
+        step = min(have, width - have)
+        out = best(out[:-step], out[step:])
+        have += step
+    return out
