@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricframe.llm import bpe, decontaminate, fingerprint, langid, licenses, secrets, simhash, suffixes, urlfilter
+from metricframe.llm import bpe, decontaminate, extract, fingerprint, langid, licenses, secrets, simhash, suffixes, urlfilter
 from metricframe.llm.storage import importable
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,6 +39,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_versions(table(spark, sf_dir, "documents"))
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_url_filter,
         op2_byte_bpe,
+        op3_main_text,
         op4_fingerprint,
         op5_licenses,
         op6_language,
