@@ -1,25 +1,59 @@
-"""A training-corpus pipeline: five of the text operators in a row, each over all that its predecessor kept."""
+"""A training-corpus pipeline: five of the text operators in a row, each over all that its predecessor kept.
+
+Every stage but the last returns the columns of ``documents``.  Rows that a stage
+cannot judge for want of a ``doc_id`` stay.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from metricframe.llm import bpe, decontaminate, entries, langid, secrets, simhash
+from metricframe.llm.storage import importable, materialize
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go: those without a letter, and those that score below the calibrated threshold.
 
-from metricframe.llm import bpe, entries, simhash
-from metricframe.llm.storage import materialize
+    The model learns from the stage's own input, as the query for language ID does.
+    """
+    importable(spark)
+    model = langid.train(docs.filter(entries.fold() != 1).select("doc_id", "text", "lang"))
+    return langid.identify(docs, model).filter("not rejected").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group the smallest ``doc_id`` stays."""
-    return simhash.one_of_each(docs)
+    importable(spark)
+    return simhash.one_of_each(docs).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of ``benchmark`` go."""
+    importable(spark)
+    return decontaminate.without_leaks(docs, entries.table(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is masked, and ``n_chars`` counts the text that is left."""
+    masked = secrets.mask(docs)
+    return masked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(
+        *docs.columns
+    )
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE of each remaining text: counts and digests of ids and round trip."""
+    importable(spark)
     return bpe.round_trip_digests(docs, entries.RANKS, entries.PATTERN)
 
 
 STAGES = [
+    ("language", language),
     ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scan", secret_scan),
     ("tokens", tokens),
 ]
 
