@@ -91,7 +91,8 @@ def _next_texts(docs: DataFrame, text: str, doc_id: str, ranges: int) -> DataFra
     follows = {key: heads[(i + 1) % len(heads)][0] for i, (_, key) in enumerate(heads)}
     rows = ranged.withColumn("guest", F.lit(0))
     if follows:
-        target = F.coalesce(*[F.when(F.col("key") == k, F.lit(r)) for k, r in follows.items()])
+        # Never null, so that no join adds a filter to one reader of the exchange only.
+        target = F.coalesce(*[F.when(F.col("key") == k, F.lit(r)) for k, r in follows.items()], F.lit(0))
         guests = base.filter(F.col("key").isin(list(follows))).withColumn("range", target).withColumn("guest", F.lit(1))
         rows = rows.unionByName(guests)
     order = Window.partitionBy("range").orderBy("guest", F.desc("key"), "text")
