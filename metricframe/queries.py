@@ -176,7 +176,7 @@ def scalar_model(c):
 # Scalars.
 
 
-@query("SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS net, l_extendedprice / l_quantity AS unit, l_quantity + l_tax - 1 AS odd FROM lineitem", "net", "unit", "odd")
+@query("SELECT l_orderkey, l_extendedprice * (1 - l_discount) AS net, l_extendedprice / l_quantity AS unit, l_quantity + l_tax - 1 AS odd FROM lineitem")
 def arithmetic(c):
     one = column(value=1)
     return lineitems(c).pick(
@@ -394,7 +394,7 @@ def format_tokens(c):
     )
 
 
-@query("SELECT event_id, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 1000000 AS seconds FROM events", "seconds")
+@query("SELECT event_id, (epoch_us(ts) - epoch_us(date_trunc('day', ts))) / 1000000 AS seconds FROM events")
 def diff_seconds(c):
     return events(c).pick(attr.event_id, func.diff_seconds(attr.ts, attr.ts.by_day).named("seconds"))
 
