@@ -117,11 +117,11 @@ class Model:
         return replace(self, source=n.Text(query))
 
     def with_attributes(self, *expressions: Expression | str, **named: Expression | str) -> Model:
-        found = dict(self.attributes)
+        model = self
         for e in [*expressions, *[self._expression(e).named(k) for k, e in named.items()]]:
-            for resolved in self._resolved([self._expression(e)]):
-                found[resolved.identifier] = resolved
-        return replace(self, attributes=found)
+            for resolved in model._resolved([self._expression(e)]):
+                model = replace(model, attributes=model.attributes | {resolved.identifier: resolved})
+        return model
 
     def with_measures(self, *expressions: Expression, **named: Expression) -> Model:
         model = self

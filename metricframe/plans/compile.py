@@ -53,6 +53,22 @@ class Context:
     now: dt.datetime = field(default_factory=dt.datetime.now)
     first_weekday: int = 6
     warnings: list[str] = field(default_factory=list)
+    #: The names of the query's relations, which raw SQL may use.
+    relations: set[str] = field(default_factory=set)
+
+
+def physical(relation: str) -> str:
+    """The column that holds a relation's struct; no column of a model has such a name."""
+    return f"__rel_{relation}"
+
+
+def _qualified(text: str, relations: set[str]) -> str:
+    """Raw SQL with the relations' names before a dot replaced by their columns' names, strings left alone."""
+
+    def change(m: re.Match) -> str:
+        return f"{name_sql(physical(m[2]))}." if m[2] in relations else m[0]
+
+    return re.sub(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?<![\w.`])`?(\w+)`?\s*\.(?!\d)""", lambda m: m[0] if m[1] else change(m), text)
 
 
 def name_sql(name: str) -> str:
@@ -112,14 +128,15 @@ def _sql(e: Expression, context: Context) -> str:
     of = lambda x: _sql(x, context)
     match e:
         case Column():
-            return f"{name_sql(e.relation or 'self')}.{name_sql(e.name)}"
+            return f"{name_sql(physical(e.relation) if e.relation else 'self')}.{name_sql(e.name)}"
         case Star():
-            return f"{name_sql(e.relation or 'self')}.*"
+            return f"{name_sql(physical(e.relation) if e.relation else 'self')}.*"
         case Literal():
             return literal_sql(e.value)
         case Sql():
             refs = dict(e.refs)
-            text = re.sub(r"\{\{\s*(.*?)\s*\}\}", lambda m: f"({of(refs[m[1]])})", e.text)
+            pieces = re.split(r"\{\{\s*(.*?)\s*\}\}", e.text)
+            text = "".join(f"({of(refs[x])})" if i % 2 else _qualified(x, context.relations) for i, x in enumerate(pieces))
             return text if re.fullmatch(r"\s*[\w`.]+\s*", text) else f"({text})"
         case Binary():
             return _binary(e, of, context)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from metricframe.expressions import Call, Expression, Sql, Star, is_private, relations_in, walk
 from metricframe.operators.match_steps import match_steps
 from metricframe.plans import nodes as n
-from metricframe.plans.compile import Context, name_sql, plain, to_sql
+from metricframe.plans.compile import Context, name_sql, physical, plain, to_sql
 
 if TYPE_CHECKING:
     from metricframe.model import Model
@@ -66,6 +66,7 @@ class Lowering:
 
     def needs(self, expressions: Iterable[Expression], plan: n.Plan) -> Need:
         known = relations_of(plan)
+        self.context.relations |= known
         return merged(*[relations_in(e, known) for e in expressions])
 
     def lower(self, plan: n.Plan, need: Need) -> Frame:
@@ -136,7 +137,7 @@ class Lowering:
                 from metricframe.expressions import Column
 
                 if e.relation:
-                    struct = frame.df.schema[e.relation].dataType
+                    struct = frame.df.schema[physical(e.relation)].dataType
                     flat += [(c, Column(c, e.relation)) for c in struct.names if not c.startswith("__attr_")]
                 else:
                     flat += [(c, Column(c)) for c in frame.columns]
@@ -183,11 +184,11 @@ class Lowering:
         columns = merged({plan.relation: need.get(plan.relation, set())}, {plan.relation: condition.pop(plan.relation, set())})[plan.relation]
         base = self.settle(self.lower(plan.base, merged(own, condition)))
         right = self.struct_of(plan.model, plan.relation, columns)
-        df = base.df.join(right, self.column(plan.condition), "inner" if plan.drop_unmatched else "left")
-        kept = [F.col(f"self.{name_sql(c)}") for c in base.df.columns if c != plan.relation]
-        if plan.relation in base.df.columns:
-            df = df.select(*kept, right[plan.relation])
-        return Frame(df, tuple(c for c in base.columns if c != plan.relation), base.relations | {plan.relation})
+        self.context.relations.add(plan.relation)
+        # A relation that is joined again under its name replaces the former one.
+        left = base.df.drop(physical(plan.relation)).alias("self")
+        df = left.join(right, self.column(plan.condition), "inner" if plan.drop_unmatched else "left")
+        return Frame(df, base.columns, base.relations | {plan.relation})
 
     def struct_of(self, model: Model, relation: str, columns: set[str] | None) -> DataFrame:
         """The model as one struct column, with the derived attributes that are asked for."""
@@ -198,7 +199,7 @@ class Lowering:
             self.column(e, derived(a)) for a, e in expressions.items() if not any(isinstance(x, Call) and x.fn == "distinct" for x in walk(e))
         ]
         fields = [F.col(f"self.{name_sql(c)}") for c in frame.columns]
-        return frame.df.select(F.struct(*fields, *extra).alias(relation))
+        return frame.df.select(F.struct(*fields, *extra).alias(physical(relation)))
 
     def _union(self, plan: n.Union, need: Need) -> Frame:
         left = self.settle(self.lower(plan.base, {}))
@@ -229,19 +230,19 @@ class Lowering:
         if extra:
             df = df.select("self.*", *[self.column(e, derived(a)) for a, e in extra.items()]).alias("self")
         every = [*frame.columns, *[derived(a) for a in extra]]
-        columns = {k: sorted(every if v is None else v & set(every)) for k, v in wanted.items()}
+        columns = {physical(k): sorted(every if v is None else v & set(every)) for k, v in wanted.items()}
         made = match_steps(
             df,
             group=self.column(plan.group),
             group_name=plan.group.identifier,
             timestamp=self.column(plan.timestamp),
-            steps=[(s.identifier, self.column(s)) for s in plan.steps],
+            steps=[(physical(s.identifier), self.column(s)) for s in plan.steps],
             starts=[(s.identifier, self.column(s)) for s in plan.starts],
             time_limit=plan.time_limit,
             columns=columns,
         )
         own = (plan.group.identifier, *[s.identifier for s in plan.starts])
-        return Frame(made, own, frozenset(columns))
+        return Frame(made, own, frozenset(wanted))
 
 
 def relations_of(plan: n.Plan | None) -> set[str]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
+from importlib.util import find_spec
 from pathlib import Path
 from typing import TYPE_CHECKING, Any
 
@@ -32,12 +33,11 @@ def read(spark: SparkSession, content: Any) -> DataFrame:
         if ending in _READERS:
             return _READERS[ending](spark, str(content))
         if ending in (".xls", ".xlsx"):
+            if find_spec("openpyxl" if ending == ".xlsx" else "xlrd") is None:
+                raise RuntimeError(f"reading {content} needs an Excel engine for pandas, which is not installed")
             import pandas
 
-            try:
-                return spark.createDataFrame(pandas.read_excel(content))
-            except ImportError as missing:
-                raise RuntimeError(f"reading {content} needs an Excel engine for pandas, which is not installed") from missing
+            return spark.createDataFrame(pandas.read_excel(content))
         raise ValueError(f"no reader for files like {content}")
     if hasattr(content, "to_dict") and hasattr(content, "columns"):
         return spark.createDataFrame(content)
