@@ -109,5 +109,56 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
+def _rules_sql() -> str:
+    return ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+
+OP1_SQL = f"""
+WITH rules(rule_host, start, verdict) AS (VALUES {_rules_sql()}),
+cut AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+    SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+),
+fits AS (
+    SELECT page_id, arg_max(rule_host || start, length(rule_host) * 100000 + length(start)) AS rule,
+        arg_max(verdict, length(rule_host) * 100000 + length(start)) AS verdict
+    FROM parts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, start) GROUP BY page_id
+)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM (SELECT coalesce(page_id) AS page_id, coalesce(host, '') AS host, coalesce(path, '') AS path FROM parts) p LEFT JOIN fits f ON p.page_id = f.page_id
+"""
+
+
+def _spans_sql(rule: secrets.Rule, rank: int) -> tuple[str, str]:
+    """A rule's spans as a list of (start, rank, end, kind), from the lengths of the pieces between its matches."""
+    pattern = rule.pattern.replace("'", "''")
+    found, gaps = f"regexp_extract_all(body, '{pattern}', 0)", f"regexp_split_to_array(body, '{pattern}')"
+    kept = f"regexp_extract_all(body, '{pattern}', {rule.group})" if rule.group else "f"
+    return f"""list_transform(
+        list_filter(range(1, len(f{rank}) + 1), lambda i: length(k{rank}[i]) >= {rule.least}),
+        lambda i: {{'start': CAST(coalesce(list_sum(list_transform(g{rank}[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f{rank}[1:i - 1], lambda x: length(x))), 0) AS BIGINT),
+            'rank': {rank},
+            'end': CAST(coalesce(list_sum(list_transform(g{rank}[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(f{rank}[1:i], lambda x: length(x))), 0) AS BIGINT),
+            'kind': '{rule.kind}'}})""", f"{found} AS f{rank}, {gaps} AS g{rank}, {kept if rule.group else found} AS k{rank}"
+
+
+def _secrets_sql() -> str:
+    made = [_spans_sql(rule, rank) for rank, rule in enumerate(secrets.RULES)]
+    lists = ", ".join(f"{spans} AS s{rank}" for rank, (spans, _) in enumerate(made))
+    matches = ", ".join(m for _, m in made)
+    base = " || ".join(f"s{i}" for i in range(len(secrets.BASE_RULES)))
+    every = " || ".join(f"s{i}" for i in range(len(secrets.RULES)))
+    shown = lambda spans: f"array_to_string(list_transform(list_sort({spans}), lambda s: s.kind || ':' || s.start || ':' || s.end), ',')"
+    return f"""
+WITH bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+matches AS (SELECT doc_id, {matches} FROM bodies),
+spans AS (SELECT doc_id, {lists} FROM matches)
+SELECT doc_id, CAST(len(s0) AS BIGINT) AS n_assign, CAST(len(s1) AS BIGINT) AS n_access, CAST(len(s2) AS BIGINT) AS n_hex,
+    sha256({shown(base)}) AS base_sha256, {shown(every)} AS spans
+FROM spans
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": OP1_SQL, "op7_secrets": _secrets_sql()}

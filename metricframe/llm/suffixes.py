@@ -8,7 +8,9 @@ words or more holds such a place, at the same words wherever the passage is.
 Suffixes whose first ``GRAM`` words occur only once can match nothing and go.  The
 others are sorted, range-partitioned, by their next :data:`LEAST` words and then by
 the words before them; each is compared with its neighbours in that order, and the
-match is extended to the right and to the left.  Matches of ``LEAST`` words or more
+match is extended to the right and to the left.  The same is done in the order of
+the words before and then of the next ones, for a text that shares more on its left
+with one text and more on its right with another.  Matches of ``LEAST`` words or more
 are repeats.  As another suffix follows within ``NEAR`` words, extension by ``LEAST``
 words to the right and ``NEAR - 1`` to the left covers passages of any length.
 
@@ -24,6 +26,7 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +41,7 @@ LEAST, GRAM = 50, 20
 NEAR = LEAST - GRAM + 1
 LEFT = NEAR - 1
 #: How many of the next suffixes in order each is compared with.
-REACH = 4
+REACH = 2
 _SEED = "key long, row long, pos int"
 _SUFFIX = "row long, doc_id long, pos int, right binary, left binary"
 _FOUND = f"part int, kind int, start int, end int, other long, {_SUFFIX}"
@@ -221,12 +224,14 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     again = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     places = found.join(again, "key").groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     suffixes = materialize(_contexts(_keyed(docs, text, doc_id).join(places, "row")), "suffixes")
-    by = ["right", "left", "row", "pos"]
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    compared = materialize(_neighbours(suffixes.repartitionByRange(wide, *by).sortWithinPartitions(*by)), "suffix-matches")
-    edges = compared.filter("kind > 0").select("part", "kind", "row", "doc_id", "pos", "right", "left").collect()  # two a partition
-    across = spark.createDataFrame(_across(edges), "row long, doc_id long, start int, end int, other long")
-    spans = compared.filter("kind = 0").select("row", "doc_id", "start", "end", "other").unionAll(across)
+    spans = []
+    for by in (["right", "left", "row", "pos"], ["left", "right", "row", "pos"]):
+        compared = materialize(_neighbours(suffixes.repartitionByRange(wide, *by).sortWithinPartitions(*by)), "suffix-matches")
+        edges = compared.filter("kind > 0").select("part", "kind", "row", "doc_id", "pos", "right", "left").collect()  # two a partition
+        across = spark.createDataFrame(_across(edges), "row long, doc_id long, start int, end int, other long")
+        spans += [compared.filter("kind = 0").select("row", "doc_id", "start", "end", "other"), across]
+    spans = functools.reduce(DataFrame.unionAll, spans)
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "end"))),
         F.array().cast("array<struct<start:int,end:int>>"),
