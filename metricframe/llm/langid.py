@@ -9,7 +9,8 @@ multiplied into one small table of class scores, which every task gets.
 
 A part of the sample is kept from training.  On it a temperature is fitted to the
 logits, so that the score is a probability, and a threshold is set below which at
-most :data:`LOST` of the rightly classified texts fall; scores below are rejected.
+most :data:`LOST` of the rightly classified texts fall, :data:`DOUBT` at the highest;
+scores below are rejected.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
 rejected; equal texts get equal results; an empty table gives an empty result; no
@@ -33,6 +34,8 @@ ORDERS, BUCKET_BITS, WIDTH = (2, 3, 4), 14, 16
 #: The bounds of the training sample: rows a label, and positions a row, spread over its whole text.
 ROWS_PER_LABEL, POSITIONS = 600, 400
 LOST = 0.002
+#: A language that is more probable than all others together is never rejected.
+DOUBT = 0.5
 UNKNOWN = "und"
 #: Bytes of text that are scored at once.
 PIECE = 1 << 18
@@ -193,7 +196,7 @@ def _calibrate(table: np.ndarray, bias: np.ndarray, codes: list[np.ndarray], y:
     temperature = float(grid[int(np.argmin(loss))])
     probs = _softmax(logits / temperature)
     right = np.sort(probs.max(1)[probs.argmax(1) == y])
-    threshold = float(right[int(LOST * len(right))]) * 0.9 if len(right) else 0.0
+    threshold = min(DOUBT, float(right[int(LOST * len(right))])) if len(right) else 0.0
     return temperature, threshold
 
 
