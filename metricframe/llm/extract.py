@@ -34,7 +34,7 @@ from metricframe.llm.boosting import Boosted, fit
 from metricframe.llm.dom import Page, features, read
 
 MAIN, DROP, MIXED = range(3)
-TRAINING_PAGES, SEED = 400, 5
+TRAINING_PAGES, SEED = 600, 5
 #: Characters of html that are taken together.
 LOT = 1 << 21
 
@@ -174,7 +174,7 @@ def made_up_page(rng: random.Random) -> str:
 
     heading = rng.choice([f"<h1>{words(2, 10)}</h1>", f"<h1>{words(2, 10)}</h1>", f"<header><h1>{words(2, 8)}</h1></header>", ""])
     inner = [paragraph() for _ in range(rng.choice([1, 1, 2, 4, 8, 16, 30]))]
-    for extra, chance in ((advert, 0.25), (form, 0.12), (side, 0.1), (comments, 0.15), (notice, 0.08)):
+    for extra, chance in ((advert, 0.25), (form, 0.12), (side, 0.1), (comments, 0.15), (notice, 0.2)):
         if rng.random() < chance:
             block = extra()
             block = block if 'data-main="0"' in block[:60] else f'<div data-main="0">{block}</div>'
@@ -209,7 +209,7 @@ def trained(pages: int = TRAINING_PAGES, seed: int = SEED) -> Boosted:
     rng = random.Random(seed)
     made = [read(made_up_page(rng)) for _ in range(pages)]
     y = np.concatenate([labels(p) for p in made])
-    return fit(features(made)[0][y >= 0], y[y >= 0], 3)
+    return fit(features(made)[0][y >= 0], y[y >= 0], 3, rounds=30, depth=5, rate=0.2)
 
 
 def extract(df: DataFrame, model: Boosted | None = None, html: str = "html") -> DataFrame:
