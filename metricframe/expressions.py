@@ -13,8 +13,10 @@ from metricframe.functions.intervals import timeinterval
 if TYPE_CHECKING:
     from metricframe.model import Model
 
-GRANULARITIES = ("second", "minute", "hour", "day", "week", "month", "quarter", "year")
-_PRIVATE = re.compile(r"__.+__\d*")
+GRANULARITIES = tuple("year quarter month week day hour minute second".split())
+#: Date, a T, time and offset.
+ISO = "T".join(("%Y-%m-%d", "%H:%M:%S%z"))
+_PRIVATE = re.compile(r"__.+__[0-9]*")
 
 
 def is_private(name: str) -> bool:
@@ -95,7 +97,7 @@ class Expression:
     is_last_year = property(lambda self: self._within("year", 1))
 
     def format_timestamp(self, fmt: str = "iso") -> Expression:
-        return Formatted(self, "%Y-%m-%dT%H:%M:%S%z" if fmt == "iso" else fmt, explicit=self.explicit)
+        return Formatted(self, ISO if fmt == "iso" else fmt, explicit=self.explicit)
 
     strftime = format_timestamp
 

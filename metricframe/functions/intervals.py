@@ -6,7 +6,7 @@ import calendar
 import datetime as dt
 from dataclasses import dataclass
 
-UNITS = ("years", "months", "days", "hours", "minutes", "seconds")
+UNITS = tuple("seconds minutes hours days months years".split())
 
 
 @dataclass(frozen=True)

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 
-_PIECES = {
-    "%Y": "yyyy", "%y": "yy", "%m": "MM", "%-m": "M", "%d": "dd", "%-d": "d",
-    "%H": "HH", "%-H": "H", "%I": "hh", "%-I": "h", "%M": "mm", "%-M": "m", "%S": "ss", "%-S": "s",
-    "%a": "EEE", "%A": "EEEE", "%b": "MMM", "%B": "MMMM", "%p": "a", "%f": "SSSSSS", "%j": "DDD", "%-j": "D", "%Q": "Q",
-}
+_PIECES = dict(
+    pair.split("=")
+    for pair in (
+        "%f=SSSSSS %p=a %Q=Q %j=DDD %-j=D %A=EEEE %a=EEE %B=MMMM %b=MMM %y=yy %Y=yyyy %m=MM %-m=M %d=dd %-d=d "
+        "%S=ss %-S=s %M=mm %-M=m %I=hh %-I=h %H=HH %-H=H"
+    ).split()
+)
 _WEEK = "CAST(floor((dayofyear({t}) + 6 - {day}) / 7) AS STRING)"
 _SUNDAY, _MONDAY = "(dayofweek({t}) - 1)", "((dayofweek({t}) + 5) % 7)"
 _COMPUTED = {

@@ -32,6 +32,7 @@ if TYPE_CHECKING:
     from metricframe.sources import Connection
 
 ENTITIES = "entities"
+SORT_DIRECTIONS, NULL_PLACES = {"asc": 1, "desc": -1}, {"first": -1, "auto": 0, "last": 1}
 #: References in raw SQL may stand for others, but not without end.
 MOST_REFERENCES = 10_000
 
@@ -58,7 +59,7 @@ class Relation:
 
         if name not in self.model.attributes:
             known = ", ".join(self.model.attributes) or "none"
-            raise AttributeError(f"No attribute with the identifier `{name}` was found in the relation `{self.identifier}` (it has: {known}).")
+            raise AttributeError(f"the relation `{self.identifier}` has no attribute `{name}`; it has: {known}")
         found = self.model.attributes[name]
         if all(not isinstance(x, Sql) and getattr(x, "relation", None) is None for x in walk(found)):
             scoped = found.disambiguated(self.identifier)
@@ -133,12 +134,12 @@ class Model:
     def with_primary_key(self, expression: Expression) -> Model:
         return replace(self, primary_key=self._one(expression))
 
-    def with_custom_meta(self, name: str, value: Any) -> Model:
-        return replace(self, meta=self.meta | {name: value})
-
     def get_custom_meta(self, name: str) -> Any:
         return self.meta.get(name)
 
+    def with_custom_meta(self, name: str, value: object) -> Model:
+        return replace(self, meta=self.meta | {name: value})
+
     def with_activity_schema(self, *, group: Expression, timestamp: Expression, event_key: Expression) -> Model:
         return replace(self, activity=ActivitySchema(self._one(group), self._one(timestamp), self._one(event_key)))
 
@@ -182,10 +183,9 @@ class Model:
         return replace(self, source=n.Filter(self.source, self._one(condition)))
 
     def sort(self, sort: Expression, dir: str = "asc", nulls: str = "auto") -> Model:  # noqa: A002
-        if dir not in ("asc", "desc"):
-            raise ValueError(f"invalid sort direction: {dir}")
-        if nulls not in ("auto", "first", "last"):
-            raise ValueError(f"invalid nulls ordering: {nulls}")
+        for given, known in ((dir, SORT_DIRECTIONS), (nulls, NULL_PLACES)):
+            if given not in known:
+                raise ValueError(f"`{given}` is none of {', '.join(known)}")
         return replace(self, source=n.Sort(self.source, self._one(sort), dir == "desc", nulls))
 
     def limit(self, count: int, *, offset: int | None = 0) -> Model:
@@ -264,7 +264,7 @@ class Model:
 
         return lower_model(self)[0]
 
-    def run(self, *, freshness: Any = None, print_warnings: bool = True, print_exec_stats: bool = False) -> RunResults:
+    def run(self, *, print_exec_stats: bool = False, print_warnings: bool = True, freshness: Any = None) -> RunResults:
         """Run the model.  ``freshness`` is accepted for its callers' sake: nothing here is cached."""
         from metricframe.results import run
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 from dataclasses import replace
 from typing import TYPE_CHECKING
 
@@ -36,7 +35,8 @@ def _activity(
 
 
 def identifier_of(value: str) -> str:
-    return re.sub(r"\W|^(?=\d)", "_", value)
+    word = "".join(c if c == "_" or c.isalnum() else "_" for c in value)
+    return f"_{word}" if word[:1].isdigit() else word
 
 
 def normalized(steps: list[Step], activity: ActivitySchema) -> list[Expression]:
@@ -69,9 +69,9 @@ def match_steps(
     from metricframe.model import ENTITIES, Relation
     from metricframe.plans.wire import same
 
-    activity = _activity(model, group, timestamp, event_key, "match_steps")
     if not steps:
         raise ValueError("`match_steps` needs at least one step")
+    activity = _activity(model, group, timestamp, event_key, "match_steps")
     conditions = normalized([model._one(s) if isinstance(s, Expression) else s for s in steps], activity)
     starts = model._resolved(starts)
     names = [c.identifier for c in conditions]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricframe import Connection, Model, attr, column, func, msr, rel, timeinterval
+from metricframe.expressions import GRANULARITIES
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "pages")
 #: name -> (model of the tables, SQL, columns whose sums depend on the order of addition)
@@ -70,7 +71,7 @@ def source_sql(c):
 
 @query("SELECT * FROM (VALUES ('Alice', CAST(25 AS BIGINT)), ('Bob', 32)) t(name, age)")
 def source_records(c):
-    people = c.with_table("people", [{"name": "Alice", "age": 25}, {"name": "Bob", "age": 32}, {"name": "Cassie", "age": 30}])
+    people = c.with_table("people", [{"age": 32, "name": "Bob"}, {"age": 25, "name": "Alice"}, {"age": 30, "name": "Cassie"}])
     return Model(people, "people").sort(column("name")).limit(2).pick(column("name"), column("age"))
 
 
@@ -373,7 +374,7 @@ def _truncated(unit: str) -> None:
     query(f"SELECT CAST({sql} AS TIMESTAMP) AS ts, count(*) AS count FROM events GROUP BY 1")(make)
 
 
-for _unit in ("second", "minute", "hour", "day", "week", "month", "quarter", "year"):
+for _unit in GRANULARITIES:
     _truncated(_unit)
 
 
@@ -382,7 +383,7 @@ def orders_by_month(c):
     return orders(c).aggregate(groups=[attr.o_orderdate.by_month.named("month")], measures=[msr.n, msr.revenue]).sort(attr.month)
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00' AS iso FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') || strftime(ts, 'T%H:%M:%S') || '+00' AS iso FROM events")
 def format_iso(c):
     return events(c).pick(attr.event_id, attr.ts.format_timestamp().named("iso"))
 
