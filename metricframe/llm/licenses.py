@@ -50,9 +50,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ),
     (
-        "apache-2.0-text",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on "
-        "an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "mpl-2.0-text",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, you can obtain one at mozilla.org.",
     ),
     (
         "gpl-text",
