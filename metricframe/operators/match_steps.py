@@ -25,14 +25,18 @@ def match_steps(
     starts: Sequence[tuple[str, Column]] = (),
     time_limit: dt.timedelta | None = None,
     columns: Mapping[str, Sequence[str]],
+    timestamp_name: str | None = None,
 ) -> DataFrame:
     """One row a group (and combination of ``starts``), with a struct of the matched event for each step in ``columns``.
 
     A step's struct is null where it was not reached.  Of several events that fit at the
     same time the one with the least of the wanted columns is taken.  Groups without a
     match keep their row, unless there are ``starts``; a null group matches nothing.
+    A step of which only the column ``timestamp_name`` is wanted takes the matched time
+    itself, without a look at the events again.
     """
-    used = sorted({c for wanted in columns.values() for c in wanted})
+    timed_only = {name for name, wanted in columns.items() if timestamp_name is not None and list(wanted) == [timestamp_name]}
+    used = sorted({c for name, wanted in columns.items() if name not in timed_only for c in wanted})
     base = events.select(
         group.alias("__group"),
         timestamp.alias("__ts"),
@@ -48,7 +52,7 @@ def match_steps(
         rest = base.drop(*parts).join(first, "__group")
         # The start itself must have the partition's values; whatever follows need not.
         same = [F.col(f"b.{p}").eqNullSafe(F.col(f"__was.{p}")) for p in parts]
-        if steps[0][0] in columns:
+        if steps[0][0] in columns and steps[0][0] not in timed_only:
             picked = base.alias("b").join(first.select("__group", *parts, "__t_0").alias("__was"), "__group")
             for condition in same:
                 picked = picked.filter(condition)
@@ -73,6 +77,10 @@ def match_steps(
     for k, (name, _) in enumerate(steps):
         if name not in columns:
             continue
+        if name in timed_only:
+            time = F.min(within(k, F.col(f"__t_{k}")))
+            made.append(F.when(time.isNotNull(), F.struct(time.alias(timestamp_name))).alias(name))
+            continue
         if starts and k == 0:
             made.append(F.first("__event_0").alias(name))
             continue

@@ -17,7 +17,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricframe.expressions import Call, Expression, Sql, Star, is_private, relations_in, walk
+from metricframe.expressions import Call, Column, Expression, Sql, Star, is_private, relations_in, walk
 from metricframe.operators.match_steps import match_steps
 from metricframe.plans import nodes as n
 from metricframe.plans.compile import Context, name_sql, physical, plain, to_sql
@@ -134,8 +134,6 @@ class Lowering:
             if isinstance(e, Sql) and e.text.strip() == "*" and e.explicit is None:
                 e = Star(e.relation)
             if isinstance(e, Star):
-                from metricframe.expressions import Column
-
                 if e.relation:
                     struct = frame.df.schema[physical(e.relation)].dataType
                     flat += [(c, Column(c, e.relation)) for c in struct.names if not c.startswith("__attr_")]
@@ -240,6 +238,7 @@ class Lowering:
             starts=[(s.identifier, self.column(s)) for s in plan.starts],
             time_limit=plan.time_limit,
             columns=columns,
+            timestamp_name=plan.timestamp.name if isinstance(plan.timestamp, Column) and plan.timestamp.relation is None else None,
         )
         own = (plan.group.identifier, *[s.identifier for s in plan.starts])
         return Frame(made, own, frozenset(wanted))
