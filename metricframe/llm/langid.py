@@ -13,8 +13,9 @@ most :data:`LOST` of the rightly classified texts fall, :data:`DOUBT` at the hig
 scores below are rejected.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0 and
-rejected; equal texts get equal results; an empty table gives an empty result; no
-labelled row at all raises ``ValueError``; other columns pass through, and those
+rejected; equal texts get equal results; an empty table gives an empty result; a model of
+no labelled row at all calls every text ``und`` with score 0, but rejects only those
+without a letter; other columns pass through, and those
 named like the new ones are replaced.  Whole texts are read, at any length, in
 pieces of bounded size.
 """
@@ -118,7 +119,7 @@ def _sampled(labelled: DataFrame, text: str, label: str, key: str, rows: int, po
     known = labelled.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
     if not counts:
-        raise ValueError("no labelled row to learn from")
+        return [], []
     share = F.pmod(F.xxhash64(F.lit(17), F.col(key).cast("string")), F.lit(1_000_003)) / 1_000_003
     keep = F.lit(False)
     for value, n in counts.items():
@@ -156,6 +157,8 @@ def train(
     """A model of the labels of ``labelled``, from about ``rows_per_label`` rows of each, chosen by a hash of ``key``."""
     labels, codes = _sampled(labelled, text, label, key, rows_per_label, positions)
     names = tuple(sorted(set(labels)))
+    if not names:
+        return LanguageModel((), np.zeros((len(ORDERS) << BUCKET_BITS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     y = np.array([names.index(x) for x in labels])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
@@ -215,10 +218,12 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
         for part in parts:
             texts = part.column(part.schema.get_field_index(text)).to_pylist()
             letters = np.array([has_letter(x) for x in texts], bool)
-            probs = model.scores([x if ok else "" for x, ok in zip(texts, letters.tolist(), strict=True)]) if texts else np.zeros((0, 1))
-            best = probs.argmax(1) if texts else np.zeros(0, int)
-            score = np.where(letters, np.round(probs.max(1), 6) if texts else np.zeros(0), 0.0)
-            names = [model.labels[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+            if texts and model.labels:
+                probs = model.scores([x if ok else "" for x, ok in zip(texts, letters.tolist(), strict=True)])
+            else:
+                probs = np.zeros((len(texts), 1))
+            best, score = probs.argmax(1), np.where(letters, np.round(probs.max(1), 6), 0.0)
+            names = [model.labels[b] if ok and model.labels else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
             arrays = [part.column(part.schema.get_field_index(c)) for c in passed]
             arrays += [pa.array(names, pa.string()), pa.array(score), pa.array(~letters | (score < model.threshold))]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())

@@ -266,8 +266,9 @@ def test_language_on_all_cases(docs, clashing, empty, model):
         if r["lang_pred"] == langid.UNKNOWN:
             assert r["score"] == 0 and r["rejected"]
     assert langid.identify(clashing, model).columns.count("score") == 1 and langid.identify(empty, model).count() == 0
-    with pytest.raises(ValueError):
-        langid.train(empty)
+    none = langid.identify(docs, langid.train(empty)).collect()
+    assert {(r["lang_pred"], r["score"]) for r in none} == {(langid.UNKNOWN, 0.0)}
+    assert all(r["rejected"] == (not langid.has_letter(r["text"])) for r in none)
 
 
 def test_language_is_trained_the_same_again(spoken, model):
