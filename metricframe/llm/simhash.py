@@ -141,5 +141,5 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """
     groups = simhash_groups(docs, text, doc_id)
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
+    named = docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns)
     return named.unionByName(docs.filter(F.col(doc_id).isNull()))

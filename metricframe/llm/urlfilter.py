@@ -114,9 +114,11 @@ def judge(
         more = {i: n for i, n in enumerate(salts) if n > 1}
         return F.coalesce(*[F.when(number == i, F.lit(n)) for i, n in more.items()], F.lit(1))
 
+    # Any columns do to spread equal keys; those that cannot be hashed don't count.
+    spreading = [F.col(f"row.`{c}`") for c in kept if "map<" not in urls.schema[c].dataType.simpleString()] or [F.col("key")]
     rows = parsed.withColumn("range", _range_of(F.col("key"), bounds)).select(
         "range",
-        F.pmod(F.xxhash64("row"), salted(F.col("range"))).cast("int").alias("salt"),
+        F.pmod(F.xxhash64(*spreading), salted(F.col("range"))).cast("int").alias("salt"),
         "key",
         F.lit(1).alias("turn"),
         F.lit(None).cast("int").alias("depth"),
