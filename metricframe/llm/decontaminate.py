@@ -10,7 +10,8 @@ A repetition draws its bits and a few steps of the walk; the characters written
 these steps, hashed, are the window's key.  Windows of the items' size (of the
 shortest item's, at most :data:`WINDOW`) start at words that are minimisers of
 their neighbourhood, in items and texts alike, so an item yields several aligned
-chances.  :func:`repetitions` gives how many repetitions reach the target recall.
+chances.  :func:`repetitions` gives how many repetitions reach the target recall if windows
+agree as assumed there; with many edits the recall is less (figures in the README).
 A walk is given up early, when what it wrote so far fits no item.
 
 A shared key is a candidate: the item at the place that the two windows imply.
@@ -42,9 +43,9 @@ SIMILARITY, RECALL = 0.8, 0.99
 WINDOW, SHORTEST = 64, 16
 #: Words in a neighbourhood of which one start is chosen, and sampled steps a key.
 NEIGHBOURS, SAMPLED = 4, 8
-#: Share of equal steps in the embeddings of windows that differ by an edit, as measured.
+#: Share of equal steps in the embeddings of windows that differ by an edit: an assumption, not a measurement.
 AGREEMENT = 0.9
-#: A shared key counts, if at most this share of the two embeddings' steps differ (unrelated windows: nine in ten).
+#: A shared key counts, if at most this share of the two embeddings' steps differ; chosen by trial.
 DIFFERING = 0.5
 BLOCK_BYTES = 8 << 20
 _FOLD = LOWER.copy()
