@@ -1,23 +1,25 @@
-"""Benchmark decontamination: CGK embeddings, bit-sampling LSH and exact edit verification.
+"""Benchmark decontamination: unedited seeds, pieces by bit-parallel edit distance, exact edit verification.
 
 Texts and items are folded (A-Z to lower case, each run of white space one space).
-The CGK embedding walks over a window with random bits: at each step it writes the
-character under the pointer, and a bit drawn for that step and character says
-whether the pointer goes on.  Two walks with the same bits that meet again after an
-edit stay together, so a small edit distance becomes a small Hamming distance.
-
-A repetition draws its bits and a few steps of the walk; the characters written at
-these steps, hashed, are the window's key.  Windows of the items' size (of the
-shortest item's, at most :data:`WINDOW`) start at words that are minimisers of
-their neighbourhood, in items and texts alike, so an item yields several aligned
-chances.  :func:`repetitions` gives how many repetitions reach the target recall if windows
-agree as assumed there; with many edits the recall is less (figures in the README).
-A walk is given up early, when what it wrote so far fits no item.
-
-A shared key is a candidate: the item at the place that the two windows imply.
-It is verified on the whole item by the exact edit distance to the best matching
-stretch of text there (bit-parallel, Myers 1999): the item is contained if its
-length's share of unedited characters is at least :data:`SIMILARITY`.
+An item is contained in a text if its length's share of unedited characters, by the
+edit distance to the best matching stretch of the text, is at least :data:`SIMILARITY`.
+
+Every place of a text is looked up among the items' seeds, which are their substrings of
+:func:`seed_length` bytes at every place.  That length is derived for each item by itself
+from the most edits that it may have: of so many at random places, some stretch of the
+length is left unedited with the probability ``recall``.  Verbatim items always hold their
+seeds.  Edits that are spread evenly leave shorter stretches than random ones: an item
+of which every q-th byte is edited, q being its seed length or less, is not found.
+No seed has more than :data:`MOST_SEED` bytes.
+
+Where a seed is met, the item's piece about it (of at most :data:`WINDOW` bytes) is compared
+with the text there, many pieces at once (Myers 1999).  A piece may have as many edits as
+the item, or :data:`PIECE` of its length if that is less.  For items of up to
+``WINDOW * PIECE / (1 - SIMILARITY)`` = 100 bytes this drops nothing; in longer ones some
+piece has no more than the average share, and most have less than ``PIECE``.
+
+What is left is verified on the whole item by the exact edit distance.  Nothing that is
+found for an item depends on the other items.
 
 Items are broadcast in blocks of at most :data:`BLOCK_BYTES`; the texts are read
 once for each block.  Defined cases: a null or empty text holds no item; items
@@ -28,7 +30,6 @@ repeat a ``doc_id`` are judged each by itself; further columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,26 +38,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricframe.llm.textbuf import LOWER, SPACES, lots, minimisers, mix, span_hashes
+from metricframe.llm.textbuf import LOWER, SPACES, lots
 
 SIMILARITY, RECALL = 0.8, 0.99
 WINDOW, SHORTEST = 64, 16
-#: Words in a neighbourhood of which one start is chosen, and sampled steps a key.
-NEIGHBOURS, SAMPLED = 4, 8
-#: Share of equal steps in the embeddings of windows that differ by an edit: an assumption, not a measurement.
-AGREEMENT = 0.9
-#: A shared key counts, if at most this share of the two embeddings' steps differ; chosen by trial.
-DIFFERING = 0.5
 BLOCK_BYTES = 8 << 20
+#: The longest seed; also what evenly spread edits must leave in a row for an item to be found.
+MOST_SEED = 9
+#: A piece of a longer item may have this share of edits, where the whole item has fewer on average.
+PIECE = 0.32
+#: Pieces judged at once, and meetings of seeds kept at once.
+LANES, MEETINGS = 1 << 14, 1 << 19
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = LOWER.copy()
 _FOLD[SPACES] = 32
 
 
-def repetitions(recall: float = RECALL, agreement: float = AGREEMENT, sampled: int = SAMPLED, windows: int = 2) -> int:
-    """Repetitions after which one of ``windows`` edited windows has met its item with probability ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / (windows * math.log(1 - agreement**sampled))))
-
-
 def fold(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Folded bytes and offsets of several texts; none begins with a space."""
     mapped = _FOLD[raw]
@@ -75,92 +72,201 @@ def fold(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mapped[~drop], kept[offsets]
 
 
-def starts_of(raw: np.ndarray, offsets: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
-    """Word starts whose first eight bytes hash lowest among some ``neighbours`` consecutive ones of their text."""
-    n = len(raw)
-    if not n:
-        return np.zeros(0, np.int64)
-    begins = raw != 32
-    begins[1:] &= raw[:-1] == 32
-    edges = offsets[:-1][offsets[:-1] < n]
-    begins[edges] |= raw[edges] != 32
-    at = np.flatnonzero(begins)
-    hashes = span_hashes(raw.astype(np.uint64) + np.uint64(7), at, np.minimum(at + 8, n))
-    return at[minimisers(hashes, neighbours)]
+def seed_length(length: int, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """The longest stretch that an item with the most edits, at random places, still holds unedited with the probability ``recall``.
+
+    As many edits part the item in one stretch more; the shortest seed is held wherever the edits are.
+
+    >>> seed_length(16), seed_length(81), seed_length(226)
+    (4, 6, 9)
+    """
+    edits = allowed(length, similarity)
+    held = length // (edits + 1)
+    fits = [q for q in range(held, MOST_SEED + 1) if (1 - similarity**q) ** (edits + 1) <= 1 - recall and q <= length - edits]
+    return max([held, *fits])
+
+
+def _seed_keys(symbols: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(q, keys)`` for q from 1 on: the key of the q bytes at each place, those past the end not given."""
+    key = np.zeros(len(symbols), np.uint64)
+    for q in range(1, most + 1):
+        key = key[: len(symbols) - q + 1] * _SPREAD + symbols[q - 1 :]
+        yield q, key
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 @dataclass(frozen=True)
-class Walks:
-    """The random choices of all repetitions: bits (repetition, step, character) and sampled steps."""
+class Seeds:
+    """The seeds of one length, at every place of the items, and the piece that each is tried in."""
 
-    bits: np.ndarray
-    steps: np.ndarray
+    length: int
+    bits: int
+    bitmap: np.ndarray
+    keys: np.ndarray
+    owners: np.ndarray
+    offsets: np.ndarray
+    pieces: np.ndarray
+    before: np.ndarray
+    turns: np.ndarray
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """Stretches of at most :data:`WINDOW` bytes of the items, as bit patterns by class of byte."""
+
+    classes: np.ndarray
+    patterns: np.ndarray
+    most: np.ndarray
+    sizes: np.ndarray
+    starts: np.ndarray
+    seeds: list[Seeds]
 
     @staticmethod
-    def draw(window: int, times: int, sampled: int = SAMPLED, seed: int = 11) -> Walks:
-        rng = np.random.default_rng(seed)
-        length = window * 3 // 2
-        bits = rng.integers(0, 2, (times, length, 256), dtype=np.uint8)
-        # Half of the steps come early, so that most windows are given up after few.
-        early, half = min(length, max(sampled, window // 3)), sampled // 2
-        steps = np.stack(
-            [
-                np.sort(np.concatenate([rng.choice(early, half, replace=False), early + rng.choice(length - early, sampled - half, replace=False)]))
-                for _ in range(times)
-            ]
-        )
-        return Walks(bits, steps)
-
-    def keys(self, raw: np.ndarray, at: np.ndarray, time: int, early: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(which, keys, early keys)`` of the windows at ``at`` that go on to the end.
-
-        ``early`` has the bitmap of the items' keys at half way.
+    def build(texts: list[bytes], similarity: float = SIMILARITY, recall: float = RECALL) -> Pieces:
+        known = np.unique(np.frombuffer(b"".join(texts), np.uint8))
+        classes = np.zeros(256, np.int64)
+        classes[known] = np.arange(1, len(known) + 1)
+        starts, sizes, most, first = [], [], [], []
+        for text in texts:
+            size = min(WINDOW, len(text))
+            at = sorted({*range(0, len(text) - size, WINDOW // 2), len(text) - size})
+            first.append(len(starts))
+            starts += at
+            sizes += [size] * len(at)
+            most += [min(allowed(len(text), similarity), max(allowed(size, similarity), int(PIECE * size)))] * len(at)
+        starts, sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
+        owner = np.repeat(np.arange(len(texts)), np.diff([*first, len(starts)]))
+        patterns = np.zeros((len(starts), len(known) + 1), np.uint64)
+        # A pattern ends at the top bit; bits below a short one match everything.
+        for piece, (item, start, size) in enumerate(zip(owner.tolist(), starts.tolist(), sizes.tolist(), strict=True)):
+            patterns[piece] = np.uint64((1 << (64 - size)) - 1)
+            bit = np.uint64(1) << np.arange(64 - size, 64, dtype=np.uint64)
+            np.bitwise_or.at(patterns[piece], classes[np.frombuffer(texts[item], np.uint8)[start : start + size]], bit)
+        by: dict[int, list[int]] = {}
+        for item, text in enumerate(texts):
+            by.setdefault(seed_length(len(text), similarity, recall), []).append(item)
+        seeds = []
+        for q, members in sorted(by.items()):
+            keys, owners, offsets, pieces, before = [], [], [], [], []
+            for item in members:
+                raw = np.frombuffer(texts[item], np.uint8)
+                *_, (_, key) = _seed_keys(raw.astype(np.uint64) + np.uint64(1), q)
+                at = np.arange(len(key))
+                mine = np.arange(first[item], first[item + 1] if item + 1 < len(texts) else len(starts))
+                centre = starts[mine] + sizes[mine] / 2
+                keys.append(key)
+                owners.append(np.full(len(key), item))
+                offsets.append(at)
+                # The piece whose middle is next, which holds the whole seed.
+                pieces.append(mine[np.searchsorted((centre[1:] + centre[:-1]) / 2, at + q / 2)])
+                before.append(np.concatenate([[256], raw[: len(key) - 1]]))
+            key, own, off, piece, prior = map(np.concatenate, (keys, owners, offsets, pieces, before))
+            turn = np.ones(len(key), bool)
+            turn[1:] = (piece[1:] != piece[:-1]) | (own[1:] != own[:-1])
+            order = np.argsort(key, kind="stable")
+            bits = max(16, int(len(key) * 16).bit_length())
+            bitmap = np.zeros(1 << bits, bool)
+            bitmap[_slots(key, bits)] = True
+            seeds.append(Seeds(q, bits, bitmap, key[order], own[order], off[order], piece[order], prior[order].astype(np.int16), turn[order]))
+        return Pieces(classes, patterns, np.array(most, np.int64), sizes, starts, seeds)
+
+    def near(self, body: np.ndarray, places: np.ndarray, pieces: np.ndarray) -> np.ndarray:
+        """Whether each piece is within its edits of some stretch of ``body`` about the place where it should begin.
+
+        Myers' columns, one piece a lane.  ``body`` has classes and at least two windows of padding at both ends.
         """
-        which, place = np.arange(len(at)), at.astype(np.int64)
-        key = np.full(len(at), np.uint64(time + 1))
-        half = key
-        steps = self.steps[time].tolist()
-        taken = 0
-        for step in range(steps[-1] + 1):
-            written = raw[place]
-            if step == steps[taken]:
-                key = mix(key + written.astype(np.uint64))
-                taken += 1
-                if taken == len(steps) // 2:
-                    half = key
-                    if early is not None:
-                        go = early[(key & np.uint64(len(early) - 1)).astype(np.int64)]
-                        which, place, key, written = which[go], place[go], key[go], written[go]
-            place = place + self.bits[time, step][written]
-        return which, key, half
-
-
-    def written(self, raw: np.ndarray, at: np.ndarray, time: int) -> np.ndarray:
-        """The whole embeddings, windows x steps."""
-        place = at.astype(np.int64)
-        out = np.empty((len(at), self.bits.shape[1]), np.uint8)
-        for step in range(out.shape[1]):
-            out[:, step] = raw[place]
-            place = place + self.bits[time, step][out[:, step]]
+        out = np.zeros(len(places), bool)
+        for low in range(0, len(places), LANES):
+            piece = pieces[low : low + LANES]
+            slack = self.most[piece]
+            at = places[low : low + LANES] - slack - 1
+            n, base, flat = len(piece), piece * self.patterns.shape[1], self.patterns.ravel()
+            one, top = np.uint64(1), np.uint64(63)
+            pv = np.uint64(2**64 - 1) << (np.uint64(64) - self.sizes[piece].astype(np.uint64))
+            mv, score = np.zeros(n, np.uint64), self.sizes[piece].astype(np.uint64)
+            best = score.copy()
+            eq, xv, xh, ph, mh, t = (np.empty(n, np.uint64) for _ in range(6))
+            c = np.empty(n, np.int64)
+            for _ in range(int((self.sizes[piece] + 2 * slack).max())):
+                np.add(at, 1, out=at)
+                np.take(body, at, out=c, mode="clip")
+                np.add(c, base, out=c)
+                np.take(flat, c, out=eq, mode="clip")
+                np.bitwise_or(eq, mv, out=xv)
+                np.bitwise_and(eq, pv, out=xh)
+                np.add(xh, pv, out=xh)
+                np.bitwise_xor(xh, pv, out=xh)
+                np.bitwise_or(xh, eq, out=xh)
+                np.bitwise_or(xh, pv, out=ph)
+                np.invert(ph, out=ph)
+                np.bitwise_or(ph, mv, out=ph)
+                np.bitwise_and(pv, xh, out=mh)
+                np.right_shift(ph, top, out=t)
+                np.add(score, t, out=score)
+                np.right_shift(mh, top, out=t)
+                np.subtract(score, t, out=score)
+                np.minimum(best, score, out=best)
+                np.left_shift(ph, one, out=ph)
+                np.left_shift(mh, one, out=mh)
+                np.bitwise_or(xv, ph, out=t)
+                np.invert(t, out=t)
+                np.bitwise_or(mh, t, out=pv)
+                np.bitwise_and(ph, xv, out=mv)
+            out[low : low + LANES] = best <= slack.astype(np.uint64)
         return out
 
+    def guesses(self, body: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(item, place where it should begin, place of the seed)`` where a seed is met and its piece is near."""
+        pad = 2 * WINDOW
+        padded = np.zeros(len(body) + 2 * pad, np.int64)
+        padded[pad : pad + len(body)] = self.classes[body]
+        wanted = {s.length: s for s in self.seeds}
+        last_bytes = np.concatenate([[-1], body.astype(np.int16)])
+        last_bytes[ends] = -1
+        begins, owners, seeds, pieces = ([np.zeros(0, np.int64)] for _ in range(4))
+        for q, key in _seed_keys(body.astype(np.uint64) + np.uint64(1), min(len(body), max(wanted, default=0))):
+            if q not in wanted:
+                continue
+            s = wanted[q]
+            place = np.flatnonzero(s.bitmap[_slots(key, s.bits)])
+            low, high = np.searchsorted(s.keys, key[place], "left"), np.searchsorted(s.keys, key[place], "right")
+            counts = high - low
+            # Where a seed is in very many items, it is taken in parts.
+            parts = np.searchsorted(np.cumsum(counts), np.arange(0, max(1, counts.sum()), MEETINGS))
+            for first, last in zip(parts, [*parts[1:], len(place)], strict=True):
+                n = counts[first:last]
+                row = np.repeat(np.arange(first, last), n)
+                entry = np.repeat(low[first:last] - np.cumsum(n) + n, n) + np.arange(len(row))
+                # Of the seeds in a row only the first in each piece counts.
+                new = s.turns[entry] | (last_bytes[place[row]] != s.before[entry])
+                row, entry = row[new], entry[new]
+                seed, owner, piece = place[row], s.owners[entry], s.pieces[entry]
+                begin = seed - s.offsets[entry]
+                if last < len(place):  # a part of many: judged at once
+                    good = self.near(padded, begin + self.starts[piece] + pad, piece)
+                    begin, owner, seed, piece = begin[good], owner[good], seed[good], piece[good]
+                begins.append(begin)
+                owners.append(owner)
+                seeds.append(seed)
+                pieces.append(piece)
+        begin, owner, seed, piece = map(np.concatenate, (begins, owners, seeds, pieces))
+        good = self.near(padded, begin + self.starts[piece] + pad, piece)
+        return owner[good], begin[good], seed[good]
+
 
 @dataclass(frozen=True)
 class Items:
-    """Folded items of one block with the keys of their windows."""
+    """Folded items of one block with their pieces and seeds."""
 
     ids: list
     texts: list[bytes]
-    window: int
-    walks: Walks
-    early: list[np.ndarray]
-    keys: list[np.ndarray]
-    owners: list[np.ndarray]
-    offsets: list[np.ndarray]
-    written: list[np.ndarray]
+    pieces: Pieces
 
     @staticmethod
-    def build(rows: list[tuple[int, str]], recall: float = RECALL) -> Items:
+    def build(rows: list[tuple[int, str]], recall: float = RECALL, similarity: float = SIMILARITY) -> Items:
         ids, texts = [], []
         for item, text in rows:
             body = np.frombuffer((text or "").encode(), np.uint8)
@@ -168,29 +274,7 @@ class Items:
             if len(folded) >= SHORTEST:
                 ids.append(item)
                 texts.append(folded)
-        window = min([WINDOW, *map(len, texts)])
-        walks = Walks.draw(window, repetitions(recall))
-        raw = np.frombuffer(b"".join(texts) + b"\0" * (2 * WINDOW), np.uint8)
-        ends = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
-        at = starts_of(raw[: ends[-1]], ends)
-        owner = np.searchsorted(ends, at, side="right") - 1
-        fits = at + window <= ends[owner + 1] if len(at) else np.zeros(0, bool)
-        # An item whose windows all start too late to fit is still looked for at its beginning.
-        missing = sorted(set(range(len(texts))) - set(owner[fits].tolist()))
-        at = np.concatenate([at[fits], ends[missing]]).astype(np.int64)
-        owner = np.concatenate([owner[fits], np.array(missing, np.int64)]).astype(np.int64)
-        early, keys, owners, offsets, written = [], [], [], [], []
-        for time in range(len(walks.steps)):
-            _, key, half = walks.keys(raw, at, time)
-            seen = np.zeros(1 << max(16, int(len(at) * 64).bit_length()), bool)
-            seen[(half & np.uint64(len(seen) - 1)).astype(np.int64)] = True
-            order = np.argsort(key, kind="stable")
-            early.append(seen)
-            keys.append(key[order])
-            owners.append(owner[order])
-            offsets.append((at - ends[owner])[order])
-            written.append(walks.written(raw, at[order], time))
-        return Items(ids, texts, window, walks, early, keys, owners, offsets, written)
+        return Items(ids, texts, Pieces.build(texts, similarity, recall))
 
 
 def edits_within(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
@@ -229,23 +313,8 @@ def allowed(length: int, similarity: float = SIMILARITY) -> int:
 def find_in(items: Items, raw: np.ndarray, offsets: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
     """``(text, item, edits, place)`` for the items that the texts hold, each once a text with its fewest edits."""
     body, ends = fold(raw, offsets)
-    at = starts_of(body, ends)
-    padded = np.concatenate([body, np.zeros(2 * WINDOW, np.uint8)])
-    guesses: set[tuple[int, int, int]] = set()
-    for time in range(len(items.walks.steps)):
-        which, key, _ = items.walks.keys(padded, at, time, items.early[time])
-        low, high = np.searchsorted(items.keys[time], key, "left"), np.searchsorted(items.keys[time], key, "right")
-        met = np.flatnonzero(high > low)
-        counts = (high - low)[met]
-        row = np.repeat(np.arange(len(met)), counts)
-        entry = np.repeat(low[met], counts) + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-        places = at[which[met]]
-        near = (items.walks.written(padded, places, time)[row] != items.written[time][entry]).mean(1) <= DIFFERING
-        row, entry = row[near], entry[near]
-        texts = np.searchsorted(ends, places[row], side="right") - 1
-        guesses.update(
-            zip(texts.tolist(), items.owners[time][entry].tolist(), (places[row] - items.offsets[time][entry]).tolist(), strict=True)
-        )
+    owners, places, seeds = items.pieces.guesses(body, ends)
+    guesses = set(zip((np.searchsorted(ends, seeds, side="right") - 1).tolist(), owners.tolist(), places.tolist(), strict=True))
     found: dict[tuple[int, int], tuple[int, int]] = {}
     covered: dict[tuple[int, int], int] = {}
     for text, item, place in sorted(guesses):
@@ -294,7 +363,7 @@ def leaks(
     found = spark.createDataFrame([], schema)
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     for block in blocks(benchmark, item_id, text):
-        built = Items.build(block, recall)
+        built = Items.build(block, recall, similarity)
         if not built.ids:
             continue
         shared = spark.sparkContext.broadcast(built)
