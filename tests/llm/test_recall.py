@@ -50,3 +50,10 @@ def test_edited_items_are_found(length, rate):
     items = [prose(rng, length) for _ in range(200)]
     # The target is 0.99 at the most edits; one deviation of 200 items is 0.007.
     assert share_found(rng, items, lambda n: int(rate * n)) >= 0.983
+
+
+@pytest.mark.parametrize("lengths", [(16, 17), (30, 45), (64, 69), (70, 104), (16, 100)])
+def test_verbatim_items_are_found(lengths):
+    rng = random.Random(lengths[0])
+    items = [prose(rng, rng.randint(*lengths)) for _ in range(200)]
+    assert share_found(rng, items, lambda n: 0) == 1
