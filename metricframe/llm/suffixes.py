@@ -8,12 +8,15 @@ words or more holds such a place, at the same words wherever the passage is.
 Suffixes whose first ``GRAM`` words occur only once can match nothing and go.  The
 others are sorted, range-partitioned, by their next :data:`LEAST` words and then by
 the words before them; each is compared with its neighbours in that order, and the
-match is extended to the right and to the left.  The same is done in the order of
-the words before and then of the next ones, for a text that shares more on its left
-with one text and more on its right with another.  Matches of ``LEAST`` words or more
+match is extended to the right and to the left.  Matches of ``LEAST`` words or more
 are repeats.  As another suffix follows within ``NEAR`` words, extension by ``LEAST``
 words to the right and ``NEAR - 1`` to the left covers passages of any length.
 
+Neighbours miss passages of a text that shares more on its left with one text and more
+on its right with another.  So the windows of ``LEAST`` words whose minimiser's key is
+repeated are sorted by their 64-bit hashes: of equal ones those that lie in no span found
+so far are added.  With them, every window that occurs twice is in a span.
+
 The suffixes next to a partition's bounds, two a partition, are compared on the
 driver.  A group of copies, however large, is only a longer run in the order: range
 bounds may fall inside it, and each of its suffixes still meets a neighbour.
@@ -26,7 +29,6 @@ are ignored.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricframe.llm.storage import materialize
-from metricframe.llm.textbuf import LOWER, SPACES, lots, minimisers, shingles, words
+from metricframe.llm.textbuf import LOWER, SPACES, lots, minimisers, shingles, sliding, words
 
 LEAST, GRAM = 50, 20
 NEAR = LEAST - GRAM + 1
@@ -44,6 +46,8 @@ LEFT = NEAR - 1
 REACH = 2
 _SEED = "key long, row long, pos int"
 _SUFFIX = "row long, doc_id long, pos int, right binary, left binary"
+_WINDOW = "hash long, row long, doc_id long, pos int"
+_SPAN = "row long, doc_id long, start int, end int, other long"
 _FOUND = f"part int, kind int, start int, end int, other long, {_SUFFIX}"
 
 
@@ -213,6 +217,75 @@ def _across(edges: list) -> list[tuple]:
     return found
 
 
+def _windows(placed: DataFrame) -> DataFrame:
+    """``(hash, row, doc_id, pos)`` of windows with a repeated minimiser; ``row`` and ``pos`` are null within the spans found so far."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows, ids, places, spans = part.column(0), part.column(1), part.column(3), part.column(4)
+            for first, last, raw, offsets in lots(part.column(2)):
+                hashes, _, _, begin = words(raw, offsets, LOWER, SPACES)
+                if len(hashes) < LEAST:
+                    continue
+                keys, _ = shingles(hashes, begin, GRAM)
+                whole, fits = shingles(hashes, begin, LEAST)
+                held = places.slice(first, last - first)
+                pos = held.flatten().to_numpy(zero_copy_only=False) + np.repeat(begin[:-1], np.diff(held.offsets.to_numpy()))
+                at = np.flatnonzero(fits)
+                at = at[np.isin(sliding(keys, NEAR, np.minimum)[at], keys[pos])]
+                text = np.searchsorted(begin, at, side="right") - 1
+                # Spans of a text are apart: a window lies in one if it ends by the end of the last that starts by its start.
+                held = spans.slice(first, last - first)
+                base = np.repeat(begin[:-1], np.diff(held.offsets.to_numpy()))
+                starts, ends = (held.flatten().field(i).to_numpy(zero_copy_only=False) + base for i in (0, 1))
+                which = np.searchsorted(starts, at, side="right")
+                known = at + LEAST <= np.concatenate([[0], ends])[which]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(whole[at].view(np.int64)),
+                        pa.array(rows.to_numpy(zero_copy_only=False)[first:last][text], mask=known),
+                        ids.take(pa.array(text + first)),
+                        pa.array((at - begin[text]).astype(np.int32), mask=known),
+                    ],
+                    names=["hash", "row", "doc_id", "pos"],
+                )
+
+    return placed.select("row", "doc_id", "text", "places", "spans").mapInArrow(batches, _WINDOW)
+
+
+def _again(ordered: DataFrame) -> DataFrame:
+    """Spans of windows that are in no other span and whose hash, by which they are sorted, is met twice."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        told = False  # whether the row kept, the first of its hash, was given already
+        for part in parts:
+            if not part.num_rows:
+                continue
+            table = pa.Table.from_batches([part]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([part])])
+            hashes = table.column("hash").to_numpy()
+            n = len(hashes)
+            new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+            leads = np.flatnonzero(new)
+            lead = leads[np.cumsum(new) - 1]
+            last = np.concatenate([new[1:], [True]])
+            own = np.arange(n)
+            other = np.where(own == lead, np.minimum(own + 1, n - 1), lead)
+            give = ~(new & last) & table.column("row").is_valid().to_numpy()
+            if kept is not None and told:
+                give[0] = False
+            told = lead[-1] < n - 1 or bool(kept is not None and told and lead[-1] == 0)
+            kept = table.slice(int(lead[-1]), 1)
+            own, other = pa.array(own[give]), pa.array(other[give])
+            if len(own):
+                start = table.column("pos").take(own).to_numpy().astype(np.int32)
+                columns = [table.column("row").take(own), table.column("doc_id").take(own), pa.chunked_array([pa.array(start)])]
+                columns += [pa.chunked_array([pa.array(start + np.int32(LEAST))]), table.column("doc_id").take(other)]
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], names=["row", "doc_id", "start", "end", "other"])
+
+    return ordered.mapInArrow(batches, _SPAN)
+
+
 def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, row, spans, twin)`` of each text with a repeated passage.
 
@@ -225,13 +298,11 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     places = found.join(again, "key").groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     suffixes = materialize(_contexts(_keyed(docs, text, doc_id).join(places, "row")), "suffixes")
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = []
-    for by in (["right", "left", "row", "pos"], ["left", "right", "row", "pos"]):
-        compared = materialize(_neighbours(suffixes.repartitionByRange(wide, *by).sortWithinPartitions(*by)), "suffix-matches")
-        edges = compared.filter("kind > 0").select("part", "kind", "row", "doc_id", "pos", "right", "left").collect()  # two a partition
-        across = spark.createDataFrame(_across(edges), "row long, doc_id long, start int, end int, other long")
-        spans += [compared.filter("kind = 0").select("row", "doc_id", "start", "end", "other"), across]
-    spans = functools.reduce(DataFrame.unionAll, spans)
+    by = ["right", "left", "row", "pos"]
+    compared = materialize(_neighbours(suffixes.repartitionByRange(wide, *by).sortWithinPartitions(*by)), "suffix-matches")
+    edges = compared.filter("kind > 0").select("part", "kind", "row", "doc_id", "pos", "right", "left").collect()  # two a partition
+    across = spark.createDataFrame(_across(edges), _SPAN)
+    near = compared.filter("kind = 0").select("row", "doc_id", "start", "end", "other").unionAll(across)
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "end"))),
         F.array().cast("array<struct<start:int,end:int>>"),
@@ -242,9 +313,19 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
             ),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    return (
-        spans.groupBy("row", "doc_id", "start")
-        .agg(F.max("end").alias("end"), F.min("other").alias("other"))
-        .groupBy("row", "doc_id")
-        .agg(merged.alias("spans"), F.min("other").alias("twin"))
-    )
+
+    def joined(spans: DataFrame) -> DataFrame:
+        return (
+            spans.groupBy("row", "doc_id", "start")
+            .agg(F.max("end").alias("end"), F.min("other").alias("other"))
+            .groupBy("row", "doc_id")
+            .agg(merged.alias("spans"), F.min("other").alias("twin"))
+        )
+
+    found = materialize(joined(near), "suffix-spans")
+    known = found.select("row", "spans")
+    placed = _keyed(docs, text, doc_id).join(places, "row").join(known, "row", "left")
+    placed = placed.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
+    windows = _windows(placed).repartition(wide, "hash").sortWithinPartitions("hash", F.col("doc_id").asc_nulls_last())
+    kept = found.select("row", "doc_id", F.explode("spans").alias("s"), "twin").select("row", "doc_id", "s.start", "s.end", F.col("twin").alias("other"))
+    return joined(kept.unionAll(_again(windows)))
