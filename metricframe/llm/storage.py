@@ -7,18 +7,24 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: What is written and not yet released: path to the Hadoop path and its file system.
+_LIVE: dict[str, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a private one only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``; a private one only where that is unset and all tasks run in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share; intermediate tables are written to it")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="metricframe-")
@@ -30,30 +36,59 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     The files outlive any executor, so later stages restart from them instead of
-    recomputing the plan that made them.
+    recomputing the plan that made them.  They are deleted by :func:`release`,
+    :func:`release_all` or at the end of the driver.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _LIVE[path] = (target, target.getFileSystem(spark._jsc.hadoopConfiguration()))
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._materialized_at = path
     return back
 
 
-def release(df: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote for ``df``; only for tables nothing reads any more."""
-    path = getattr(df, "_materialized_at", None)
-    if path is None:
-        return
-    jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(hadoop).delete(target, True)
+def _delete(path: str) -> None:
+    target, system = _LIVE.pop(path)
+    system.delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote for the tables; only for those that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_materialized_at", None)
+        if path in _LIVE:
+            _delete(path)
+
+
+def release_all() -> None:
+    """Delete every intermediate table of this driver: for long sessions, once the results made so far are no longer read."""
+    for path in list(_LIVE):
+        _delete(path)
+
+
+def _at_exit() -> None:
+    try:
+        release_all()
+    except Exception:  # noqa: BLE001 - the JVM may be gone already
+        _LIVE.clear()
+
+
+atexit.register(_at_exit)
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, wherever they are started."""
-    environment = spark.sparkContext.environment
-    home = str(Path(__file__).resolve().parents[2])
-    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
-    if home not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+    """Ship this package to the executors, once a Spark application, so that Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_metricframe_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="metricframe-code-")  # on the driver, which serves it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "metricframe_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted([*package.rglob("*.py"), *package.rglob("*.npz")]):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._metricframe_shipped = True
