@@ -6,25 +6,25 @@ start at a minimiser: where the hash of the next :data:`GRAM` words is the least
 words or more holds such a place, at the same words wherever the passage is.
 
 Suffixes whose first ``GRAM`` words occur only once can match nothing and go.  The
-others are sorted, range-partitioned, by their next :data:`LEAST` words and then by
-the words before them; each is compared with its neighbours in that order, and the
-match is extended to the right and to the left.  Matches of ``LEAST`` words or more
-are repeats.  As another suffix follows within ``NEAR`` words, extension by ``LEAST``
-words to the right and ``NEAR - 1`` to the left covers passages of any length.
-
-Neighbours miss passages of a text that shares more on its left with one text and more
-on its right with another.  So the windows of ``LEAST`` words whose minimiser's key is
-repeated are sorted by their 64-bit hashes: of equal ones those that lie in no span found
-so far are added.  With them, every window that occurs twice is in a span.
-
-The suffixes next to a partition's bounds, two a partition, are compared on the
-driver.  A group of copies, however large, is only a longer run in the order: range
-bounds may fall inside it, and each of its suffixes still meets a neighbour.
+others are sorted, range-partitioned, by their next :data:`LEAST` words, and each is
+compared with its neighbour: that gives the words that they share on their right.
+Suffixes that share ``LEAST - l`` words or more to the right are a stretch of the order;
+of a stretch those match that also share the ``l`` words before them, for every ``l`` up to
+``NEAR - 1``.  So each match is extended to the right and to the left until it has ``LEAST``
+words, with whichever partner, not only the nearest.  Longer passages are covered by
+their further suffixes, as another one follows within ``NEAR`` words.
+
+Only suffixes with the same first ``GRAM`` words, a *run* of the order, can match.  A run is
+settled in memory with others, :data:`BLOCK` suffixes at a time.  Runs that a partition's
+bounds may cut, and those of more suffixes, are settled in pieces; of each piece every
+different stretch of ``LEAST`` words about its suffixes is sent on once, by its hash, and
+those that two pieces share are matches too.  So a group of copies, however large, is cut
+freely, and what is found does not depend on the partitions.
 
 Defined cases: null, empty and shorter texts hold no passage; a text may repeat a
 passage of its own, also one that overlaps it; rows that are equal in ``doc_id`` and
 text are one text met twice; an empty table gives an empty result; further columns
-are ignored.
+are ignored; ``doc_id`` is a whole number.
 """
 
 from __future__ import annotations
@@ -33,22 +33,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricframe.llm.storage import materialize
-from metricframe.llm.textbuf import LOWER, SPACES, lots, minimisers, shingles, sliding, words
+from metricframe.llm.storage import materialize, release
+from metricframe.llm.textbuf import LOWER, SPACES, lots, minimisers, mix, shingles, words
 
 LEAST, GRAM = 50, 20
 NEAR = LEAST - GRAM + 1
 LEFT = NEAR - 1
-#: How many of the next suffixes in order each is compared with.
-REACH = 2
+#: Suffixes that are settled together; a run of more is cut.
+BLOCK = 16_000
 _SEED = "key long, row long, pos int"
 _SUFFIX = "row long, doc_id long, pos int, right binary, left binary"
-_WINDOW = "hash long, row long, doc_id long, pos int"
 _SPAN = "row long, doc_id long, start int, end int, other long"
-_FOUND = f"part int, kind int, start int, end int, other long, {_SUFFIX}"
+#: A span, or with a hash the stretch of words that starts at ``start``; its ``row`` is null if the piece has it twice.
+_FOUND = f"hash long, {_SPAN}"
+_ODD = np.random.default_rng(50).integers(1, 2**63, LEAST, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -122,135 +123,129 @@ def _contexts(placed: DataFrame) -> DataFrame:
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     flat = b"".join(column.to_pylist())
-    return np.frombuffer(flat, ">u4").reshape(len(column), width)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common beginning of each two rows; a zero is past the text and equals nothing."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(1), differ.argmax(1), a.shape[1])
-
-
-def _matches(rows: dict[str, np.ndarray], gap: int, since: int) -> tuple[np.ndarray, ...]:
-    """Matches of each row with the one ``gap`` before it, for rows from ``since`` on, both ways round."""
-    low = max(gap, since)
-    b = np.arange(low, len(rows["pos"]))
-    a = b - gap
-    right, left = _common(rows["right"][a], rows["right"][b]), _common(rows["left"][a], rows["left"][b])
-    ok = right + left >= LEAST
-    a, b, right, left = a[ok], b[ok], right[ok], left[ok]
-    one, two = np.concatenate([a, b]), np.concatenate([b, a])
-    right, left = np.tile(right, 2), np.tile(left, 2)
-    return one, two, rows["pos"][one] - left, rows["pos"][one] + right
-
-
-def _neighbours(ordered: DataFrame) -> DataFrame:
-    """Matches (kind 0) in each sorted partition, and its first and last suffix (kinds 1 and 2)."""
+    return np.frombuffer(flat, ">u4").reshape(len(column), width).astype(np.uint32)
+
+
+def _shared(right: np.ndarray) -> np.ndarray:
+    """How many words each suffix shares with the one before it; a zero is past the text and equals nothing."""
+    differ = (right[1:] != right[:-1]) | (right[1:] == 0)
+    return np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), LEAST)])
+
+
+def _sums(sides: np.ndarray) -> np.ndarray:
+    """Hashes of each row's first 0, 1, 2, ... words."""
+    sums = np.zeros((len(sides), sides.shape[1] + 1), np.uint64)
+    np.cumsum(sides * _ODD[: sides.shape[1]], axis=1, out=sums[:, 1:])
+    return sums
+
+
+class _Block:
+    """Consecutive suffixes of the order."""
+
+    def __init__(self, table: pa.Table) -> None:
+        column = lambda name: table.column(name).combine_chunks()
+        self.row, self.pos = column("row").to_numpy(), column("pos").to_numpy()
+        self.doc_id = column("doc_id")
+        self.right, self.left = _matrix(column("right"), LEAST), _matrix(column("left"), LEFT)
+
+    def settle(self) -> pa.RecordBatch:
+        """The spans that each suffix lies in together with another one of the block, and the least other ``doc_id``."""
+        n = len(self.row)
+        shared, lefts = _shared(self.right), _sums(self.left)
+        before = (self.left != 0).argmin(1)
+        before[(self.left != 0).all(1)] = LEFT
+        ids = self.doc_id.fill_null(np.iinfo(np.int64).max).to_numpy()
+        least = np.full(n, np.iinfo(np.int64).max)
+        met = np.zeros((n, NEAR), bool)
+        for extra in range(NEAR):
+            starts = shared < LEAST - extra
+            lone = starts & np.concatenate([starts[1:], [True]])
+            at = np.flatnonzero(~lone & (before >= extra))
+            if not len(at):
+                continue
+            stretch = np.cumsum(starts)[at].astype(np.uint64)
+            key = mix(lefts[at, extra] + mix(stretch))
+            order = np.lexsort((ids[at], key))
+            at, key = at[order], key[order]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            first = np.flatnonzero(new)
+            sizes = np.diff(np.concatenate([first, [len(at)]]))
+            lead = np.repeat(first, sizes)
+            both = np.repeat(sizes > 1, sizes)
+            other = np.where(np.arange(len(at)) == lead, np.minimum(lead + 1, len(at) - 1), lead)
+            own = at[both]
+            met[own, extra] = True
+            least[own] = np.minimum(least[own], ids[at[other[both]]])
+        # Stretches that follow one another are one span.
+        edge = np.diff(np.pad(met, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        one, low = np.nonzero(edge > 0)
+        _, high = np.nonzero(edge < 0)
+        start, end = self.pos[one] - (high - 1), self.pos[one] - low + LEAST
+        other = pa.array(least[one], mask=least[one] == np.iinfo(np.int64).max)
+        return _found(pa.nulls(len(one), pa.int64()), pa.array(self.row[one]), self.doc_id.take(pa.array(one)), start, end, other)
+
+    def stretches(self, at: np.ndarray) -> pa.RecordBatch:
+        """Each different stretch of ``LEAST`` words about the suffixes ``at`` once; the ``row`` is null if it is there twice."""
+        rights, lefts = _sums(self.right[at]), _sums(self.left[at])
+        after, before = (self.right[at] != 0).sum(1), (self.left[at] != 0).sum(1)
+        hashes, owners, extras = [], [], []
+        for extra in range(NEAR):
+            fits = np.flatnonzero((after >= LEAST - extra) & (before >= extra))
+            hashes.append(mix(rights[fits, LEAST - extra] + mix(lefts[fits, extra] + np.uint64(extra))))
+            owners.append(at[fits])
+            extras.append(np.full(len(fits), extra))
+        hash_, owner, extra = map(np.concatenate, (hashes, owners, extras))
+        different, first, counts = np.unique(hash_, return_index=True, return_counts=True)
+        owner, start = owner[first], self.pos[owner[first]] - extra[first]
+        row = pa.array(self.row[owner], mask=counts > 1)
+        ids = self.doc_id.take(pa.array(owner))
+        return _found(pa.array(different.view(np.int64)), row, ids, start, start + LEAST, pa.nulls(len(owner), pa.int64()))
+
+
+def _found(hash_: pa.Array, row: pa.Array, ids: pa.Array, start: np.ndarray, end: np.ndarray, other: pa.Array) -> pa.RecordBatch:
+    arrays = [hash_, row, ids, pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), other]
+    return pa.RecordBatch.from_arrays(arrays, names=["hash", "row", "doc_id", "start", "end", "other"])
+
+
+def _settled(ordered: DataFrame, size: int) -> DataFrame:
+    """The spans that suffixes of one partition share, and the stretches of words of the pieces of runs that others may hold too."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId()
         kept: pa.Table | None = None
-        edges: list[tuple[int, pa.RecordBatch]] = []
-        for part in parts:
-            if not part.num_rows:
-                continue
-            if not edges:
-                edges.append((1, part.slice(0, 1)))
-            last = (2, part.slice(part.num_rows - 1, 1))
-            table = pa.Table.from_batches([part]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([part])])
-            table = table.combine_chunks()
-            since = table.num_rows - part.num_rows
-            column = lambda name: table.column(name).chunk(0)  # noqa: B023, E731
-            rows = {
-                "row": column("row").to_numpy(),
-                "pos": column("pos").to_numpy(),
-                "right": _matrix(column("right"), LEAST),
-                "left": _matrix(column("left"), LEFT),
-            }
-            for gap in range(1, REACH + 1):
-                one, two, start, end = _matches(rows, gap, since)
-                if len(one):
-                    found = table.select(["row", "doc_id", "pos"]).take(pa.array(one)).combine_chunks()
-                    other = table.column("doc_id").take(pa.array(two)).combine_chunks()
-                    yield _found(number, 0, start, end, other, [found.column(i).combine_chunks() for i in range(3)])
-            kept = table.slice(max(0, table.num_rows - REACH))
-        if edges:
-            for kind, edge in [*edges, last]:
-                one = np.zeros(1, np.int64)
-                yield _found(number, kind, one, one, pa.array([None], pa.int64()), [edge.column(i) for i in range(5)])
+        cut = True  # whether the run that ``kept`` begins with may have begun before
+
+        def piece(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+            """Settles the whole runs of the table; the last one too, as a piece, if it is the ``last`` or long."""
+            nonlocal kept, cut
+            right = _matrix(table.column("right").combine_chunks(), LEAST)
+            begins = np.flatnonzero(_shared(right) < GRAM)
+            split = last or (len(begins) == 1 and table.num_rows >= size)
+            upto = table.num_rows if split else int(begins[-1])
+            kept = table.slice(upto)
+            if not upto:
+                return
+            block = _Block(table.slice(0, upto))
+            yield block.settle()
+            # The runs that may go on elsewhere: the first, if it was cut, and the last.
+            edges = [np.arange(0, begins[1] if len(begins) > 1 else upto)] if cut else []
+            if split and (len(begins) > 1 or not cut):
+                edges.append(np.arange(begins[-1], upto))
+            for at in edges:
+                yield block.stretches(at)
+            cut = split
 
-    return ordered.mapInArrow(batches, _FOUND)
-
-
-def _found(number: int, kind: int, start: np.ndarray, end: np.ndarray, other: pa.Array, own: list) -> pa.RecordBatch:
-    n = len(start)
-    arrays = [
-        pa.array(np.full(n, number, np.int32)),
-        pa.array(np.full(n, kind, np.int32)),
-        pa.array(start.astype(np.int32)),
-        pa.array(end.astype(np.int32)),
-        other.combine_chunks() if isinstance(other, pa.ChunkedArray) else other,
-        *[x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in own],
-    ]
-    arrays += [pa.nulls(n, pa.binary())] * (10 - len(arrays))
-    names = ["part", "kind", "start", "end", "other", "row", "doc_id", "pos", "right", "left"]
-    return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-def _across(edges: list) -> list[tuple]:
-    """Matches between the last suffix of each partition and the first of the next that is not empty."""
-    by = sorted(edges, key=lambda r: (r["part"], r["kind"]))
-    found = []
-    for a, b in zip(by, by[1:], strict=False):
-        if a["part"] == b["part"]:
-            continue
-        rows = {
-            "row": np.array([a["row"], b["row"]]),
-            "pos": np.array([a["pos"], b["pos"]]),
-            "right": np.stack([np.frombuffer(bytes(x["right"]), ">u4") for x in (a, b)]),
-            "left": np.stack([np.frombuffer(bytes(x["left"]), ">u4") for x in (a, b)]),
-        }
-        for one, two, start, end in zip(*_matches(rows, 1, 0), strict=True):
-            found.append(((a, b)[one]["row"], (a, b)[one]["doc_id"], int(start), int(end), (a, b)[two]["doc_id"]))
-    return found
-
-
-def _windows(placed: DataFrame) -> DataFrame:
-    """``(hash, row, doc_id, pos)`` of windows with a repeated minimiser; ``row`` and ``pos`` are null within the spans found so far."""
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            rows, ids, places, spans = part.column(0), part.column(1), part.column(3), part.column(4)
-            for first, last, raw, offsets in lots(part.column(2)):
-                hashes, _, _, begin = words(raw, offsets, LOWER, SPACES)
-                if len(hashes) < LEAST:
+            if part.num_rows:
+                batch = pa.Table.from_batches([part])
+                table = batch if kept is None or not kept.num_rows else pa.concat_tables([kept, batch])
+                if table.num_rows < size:
+                    kept = table
                     continue
-                keys, _ = shingles(hashes, begin, GRAM)
-                whole, fits = shingles(hashes, begin, LEAST)
-                held = places.slice(first, last - first)
-                pos = held.flatten().to_numpy(zero_copy_only=False) + np.repeat(begin[:-1], np.diff(held.offsets.to_numpy()))
-                at = np.flatnonzero(fits)
-                at = at[np.isin(sliding(keys, NEAR, np.minimum)[at], keys[pos])]
-                text = np.searchsorted(begin, at, side="right") - 1
-                # Spans of a text are apart: a window lies in one if it ends by the end of the last that starts by its start.
-                held = spans.slice(first, last - first)
-                base = np.repeat(begin[:-1], np.diff(held.offsets.to_numpy()))
-                starts, ends = (held.flatten().field(i).to_numpy(zero_copy_only=False) + base for i in (0, 1))
-                which = np.searchsorted(starts, at, side="right")
-                known = at + LEAST <= np.concatenate([[0], ends])[which]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(whole[at].view(np.int64)),
-                        pa.array(rows.to_numpy(zero_copy_only=False)[first:last][text], mask=known),
-                        ids.take(pa.array(text + first)),
-                        pa.array((at - begin[text]).astype(np.int32), mask=known),
-                    ],
-                    names=["hash", "row", "doc_id", "pos"],
-                )
+                yield from piece(table, False)
+        if kept is not None and kept.num_rows:
+            yield from piece(kept, True)
 
-    return placed.select("row", "doc_id", "text", "places", "spans").mapInArrow(batches, _WINDOW)
+    return ordered.mapInArrow(batches, _FOUND)
 
 
 def _again(ordered: DataFrame) -> DataFrame:
@@ -286,46 +281,28 @@ def _again(ordered: DataFrame) -> DataFrame:
     return ordered.mapInArrow(batches, _SPAN)
 
 
-def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """``(doc_id, row, spans, twin)`` of each text with a repeated passage.
 
     ``spans`` are word ranges (start, end exclusive), apart and in order; ``twin`` is
-    the smallest ``doc_id`` that one of them was matched with.
+    a ``doc_id`` that holds one of them too, the least of those it was settled with.
     """
     spark = docs.sparkSession
     found = materialize(seeds(docs, text, doc_id), "suffix-seeds")
     again = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     places = found.join(again, "key").groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     suffixes = materialize(_contexts(_keyed(docs, text, doc_id).join(places, "row")), "suffixes")
+    release(found)
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    by = ["right", "left", "row", "pos"]
-    compared = materialize(_neighbours(suffixes.repartitionByRange(wide, *by).sortWithinPartitions(*by)), "suffix-matches")
-    edges = compared.filter("kind > 0").select("part", "kind", "row", "doc_id", "pos", "right", "left").collect()  # two a partition
-    across = spark.createDataFrame(_across(edges), _SPAN)
-    near = compared.filter("kind = 0").select("row", "doc_id", "start", "end", "other").unionAll(across)
-    merged = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("start", "end"))),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda done, s: F.when((F.size(done) > 0) & (s["start"] <= F.element_at(done, -1)["end"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))),
-            ),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-
-    def joined(spans: DataFrame) -> DataFrame:
-        return (
-            spans.groupBy("row", "doc_id", "start")
-            .agg(F.max("end").alias("end"), F.min("other").alias("other"))
-            .groupBy("row", "doc_id")
-            .agg(merged.alias("spans"), F.min("other").alias("twin"))
-        )
-
-    found = materialize(joined(near), "suffix-spans")
-    known = found.select("row", "spans")
-    placed = _keyed(docs, text, doc_id).join(places, "row").join(known, "row", "left")
-    placed = placed.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
-    windows = _windows(placed).repartition(wide, "hash").sortWithinPartitions("hash", F.col("doc_id").asc_nulls_last())
-    kept = found.select("row", "doc_id", F.explode("spans").alias("s"), "twin").select("row", "doc_id", "s.start", "s.end", F.col("twin").alias("other"))
-    return joined(kept.unionAll(_again(windows)))
+    by = ["right", "row", "pos"]
+    settled = materialize(_settled(suffixes.repartitionByRange(wide, *by).sortWithinPartitions(*by), block), "suffix-matches")
+    release(suffixes)
+    pieces = settled.filter("hash is not null").select("hash", "row", "doc_id", F.col("start").alias("pos"))
+    across = _again(pieces.repartition(wide, "hash").sortWithinPartitions("hash", F.col("doc_id").asc_nulls_last()))
+    every = settled.filter("hash is null").drop("hash").unionAll(across)
+    # Spans that touch are one: a span is new where it begins after all that began before it have ended.
+    order = Window.partitionBy("row", "doc_id").orderBy("start", "end")
+    told = every.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    numbered = told.withColumn("island", F.sum(F.col("new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = numbered.groupBy("row", "doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("other").alias("other"))
+    return islands.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.min("other").alias("twin"))
