@@ -13,9 +13,8 @@ from metricframe.functions.intervals import timeinterval
 if TYPE_CHECKING:
     from metricframe.model import Model
 
-GRANULARITIES = tuple("year quarter month week day hour minute second".split())
-#: Date, a T, time and offset.
-ISO = "T".join(("%Y-%m-%d", "%H:%M:%S%z"))
+GRANULARITIES = ("year", "quarter", "month", "week", "day", "hour", "minute", "second")
+ISO = "%Y-%m-%dT%H:%M:%S%z"
 _PRIVATE = re.compile(r"__.+__[0-9]*")
 
 

@@ -32,7 +32,7 @@ if TYPE_CHECKING:
     from metricframe.sources import Connection
 
 ENTITIES = "entities"
-SORT_DIRECTIONS, NULL_PLACES = {"asc": 1, "desc": -1}, {"first": -1, "auto": 0, "last": 1}
+SORT_DIRECTIONS, NULL_PLACES = ("asc", "desc"), ("first", "auto", "last")
 #: References in raw SQL may stand for others, but not without end.
 MOST_REFERENCES = 10_000
 

@@ -226,6 +226,8 @@ def _call(e: Call, of: Callable[[Expression], str], context: Context) -> str:
         return "(" + f" {e.fn.upper()} ".join(args) + ")" if args else literal_sql(e.fn == "and")
     match e.fn:
         case "not":
+            if isinstance(e.args[0], Membership):
+                return _absence(e.args[0], of, context)
             return f"(NOT {args[0]})"
         case "count":
             return f"count({args[0] if args else '*'})"
@@ -246,6 +248,18 @@ def _call(e: Call, of: Callable[[Expression], str], context: Context) -> str:
     raise ValueError(f"no such function: {e.fn}")
 
 
+def _absence(e: Membership, of: Callable[[Expression], str], context: Context) -> str:
+    """The negated membership, as a plain anti join; with nulls it is as unknown as NOT IN is."""
+    view, names = context.view(e.model)
+    column, base = name_sql(_member(e.model, e.base.optional_name, names)), of(e.base)
+    held = f"EXISTS (SELECT 1 FROM (SELECT {column} AS __member FROM {view}) WHERE __member = {base})"
+    some, a_null = f"EXISTS (SELECT 1 FROM {view})", f"EXISTS (SELECT 1 FROM {view} WHERE {column} IS NULL)"
+    return (
+        f"(NOT {held} AND CASE WHEN {base} IS NULL THEN CASE WHEN {a_null} THEN FALSE WHEN {some} THEN NULL ELSE TRUE END "
+        f"WHEN {a_null} THEN NULL ELSE TRUE END)"
+    )
+
+
 def plain(e: Expression) -> Expression:
     """``e`` without its explicit name."""
     return replace(e, explicit=None)

@@ -121,19 +121,19 @@ def not_in_list(c):
     return orders(c).filter(~attr.o_orderstatus.in_(["O", "F"])).aggregate(measures=[func.count()])
 
 
-@query("SELECT p_partkey FROM part WHERE p_type LIKE '%EEL%'")
+@query("SELECT p_partkey FROM part WHERE p_type LIKE '%EDI%'")
 def contains_like(c):
-    return Model(c, "part").filter(column("p_type").contains("EEL")).pick(column("p_partkey"))
+    return Model(c, "part").filter(column("p_type").contains("EDI")).pick(column("p_partkey"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_type ILIKE '%eel%'")
+@query("SELECT p_partkey FROM part WHERE p_type ILIKE '%prom%'")
 def contains_ilike(c):
-    return Model(c, "part").filter(column("p_type").contains("eel", case_sensitive=False)).pick(column("p_partkey"))
+    return Model(c, "part").filter(column("p_type").contains("prom", case_sensitive=False)).pick(column("p_partkey"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_type LIKE '%EEL%' OR p_type LIKE '%TIN%'")
+@query("SELECT p_partkey FROM part WHERE p_type LIKE '%EDI%' OR p_type LIKE '%TAND%'")
 def contains_any(c):
-    return Model(c, "part").filter(column("p_type").contains_any("EEL", "TIN")).pick(column("p_partkey"))
+    return Model(c, "part").filter(column("p_type").contains_any("EDI", "TAND")).pick(column("p_partkey"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_name LIKE '%a%' AND p_name LIKE '%r%'")
@@ -214,10 +214,13 @@ def bucket_other_model(c):
     return customers(c).aggregate(groups=[attr.c_nationkey.bucket_other(top, other=-1)], measures=[func.count()])
 
 
-@query("SELECT o_orderkey, o_totalprice * 2 AS twice, upper(o_orderstatus) AS status FROM orders WHERE o_totalprice BETWEEN 500 AND 5000", "twice")
+@query("SELECT o_orderkey, o_totalprice * 2 AS twice, upper(o_orderstatus) AS status, o_totalprice BETWEEN 500 AND 5000 AS small FROM orders WHERE o_totalprice IS NOT NULL", "twice")
 def sql_expressions(c):
-    return orders(c).filter(column(sql="o_totalprice BETWEEN 500 AND 5000")).pick(
-        column(sql="o_orderkey"), column(sql="self.o_totalprice * 2").named("twice"), column(sql="upper({{o_orderstatus}})").named("status")
+    return orders(c).filter(column(sql="o_totalprice IS NOT NULL")).pick(
+        column(sql="o_orderkey"),
+        column(sql="self.o_totalprice * 2").named("twice"),
+        column(sql="upper({{o_orderstatus}})").named("status"),
+        column(sql="o_totalprice BETWEEN 500 AND 5000").named("small"),
     )
 
 
@@ -249,9 +252,9 @@ def star_sql(c):
 # Aggregates.
 
 
-@query("SELECT count(*) AS count, sum(o_totalprice) AS sum_o_totalprice FROM orders WHERE o_orderkey < 2000", "sum_o_totalprice")
+@query("SELECT count(*) AS count, sum(o_totalprice) AS sum_o_totalprice FROM orders", "sum_o_totalprice")
 def agg_global(c):
-    return orders(c).filter(attr.o_orderkey < 2000).aggregate(measures=[func.count(), func.sum(attr.o_totalprice)])
+    return orders(c).aggregate(measures=[func.count(), func.sum(attr.o_totalprice)])
 
 
 @query(
@@ -309,9 +312,9 @@ def group_only_distinct(c):
     return orders(c).aggregate(groups=[attr.o_orderstatus, attr.o_orderpriority])
 
 
-@query("SELECT count(*) AS n, sum(o_totalprice) AS revenue FROM orders WHERE o_orderkey < 3000", "revenue")
+@query("SELECT count(*) AS n, sum(o_totalprice) AS revenue FROM orders", "revenue")
 def star_measures(c):
-    return orders(c).filter(attr.o_orderkey < 3000).aggregate(measures=[*msr])
+    return orders(c).aggregate(measures=[*msr])
 
 
 @query("SELECT floor(c_acctbal / 1000) AS bin, count(*) AS count FROM customer GROUP BY 1")
@@ -420,6 +423,49 @@ def relative_time(c):
     return events(c).filter((attr.ts < func.now()) & ~attr.ts.is_this_year).aggregate(measures=[func.count()])
 
 
+_ABSENT_SQL = """SELECT doc_id, doc_id NOT IN (SELECT l.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) AS absent FROM documents"""
+_PERIODS = ("today", "yesterday", "this_week", "last_week", "this_month", "last_month", "this_quarter", "last_quarter", "this_year", "last_year")
+
+
+def _periods_sql() -> str:
+    """Counts by period of one time an hour, back from half past this one."""
+    counts = []
+    for name in _PERIODS:
+        unit = {"today": "day", "yesterday": "day"}.get(name, name.split("_")[-1])
+        this = "date_trunc('week', now_ - INTERVAL 6 DAY) + INTERVAL 6 DAY" if unit == "week" else f"date_trunc('{unit}', now_)"
+        step = "3 MONTH" if unit == "quarter" else f"1 {unit}"
+        low, high = (f"{this} - INTERVAL {step}", this) if name.startswith(("last", "yesterday")) else (this, f"{this} + INTERVAL {step}")
+        counts.append(f"count(*) FILTER (seen >= {low} AND seen < {high}) AS {name}")
+    times = "SELECT CAST(now() AS TIMESTAMP) AS now_, date_trunc('hour', CAST(now() AS TIMESTAMP)) + INTERVAL 30 MINUTE - event_id * INTERVAL 1 HOUR AS seen FROM events"
+    return f"SELECT {', '.join(counts)} FROM ({times})"
+
+
+@query(_periods_sql())
+def relative_periods(c):
+    hours = "CAST(date_trunc('HOUR', now()) AS TIMESTAMP_NTZ) + INTERVAL 30 MINUTE - make_interval(0, 0, 0, 0, event_id) AS seen"
+    at = column("seen")
+    return Model(c, sql_query=f"SELECT {hours} FROM events").aggregate(measures=[func.count_if(getattr(at, f"is_{x}")).named(x) for x in _PERIODS])
+
+
+@query("SELECT r_regionkey AS r_name, r_name AS r_name_2, r_regionkey * 2 AS r_name_3 FROM region")
+def names_made_unique(c):
+    return Model(c, "region").pick(column("r_regionkey").named("r_name"), column("r_name"), (column("r_regionkey") * 2).named("r_name"))
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def source_pandas(c):
+    return Model(c.with_table("frame", c.table("region").toPandas()), "frame").pick(column("r_regionkey"), column("r_name"))
+
+
+@query(_ABSENT_SQL)
+def not_in_model_with_nulls(c):
+    """A missing label makes it unknown whether a document is absent, unless it is there."""
+    toxic = Model(c, "documents").with_join_one(
+        Model(c, "labels").with_attributes("toxic", "doc_id").with_primary_key(column("doc_id")), foreign_key=column("doc_id")
+    ).pick(rel.labels.doc_id.named("doc_id"))
+    return Model(c, "documents").pick(column("doc_id"), (~column("doc_id").in_(toxic)).named("absent"))
+
+
 # Joins.
 
 

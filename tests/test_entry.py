@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -32,3 +34,9 @@ def test_row_counts_of_the_semantic_layer(spark):
         got = made[name](spark, SMALL).toPandas()
         want = con.execute(sql[name]).df()
         assert len(got) == len(want) and sorted(got.columns) == sorted(want.columns), name
+
+
+def test_core_stands_without_the_text_libraries():
+    code = "import sys; sys.modules['xxhash'] = None\nimport __spark_entry__ as e\nprint(len(e.queries()), 'op8_simhash' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(__spark_entry__.__file__), capture_output=True, text=True, check=True).stdout
+    assert out.split() == [str(len(core.queries())), "False"]

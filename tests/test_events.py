@@ -166,3 +166,34 @@ def test_one_exchange_however_many_steps(spark, tmp_path):
         made = model.match_steps(list(steps)).pick(attr.user_id, *[rel[x].id.named(x) for x in steps])
         plan = made.spark_df()._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_hot_group_of_partitioned_starts(spark):
+    """Many starts and events in one group: one exchange, no join, space in proportion to the events."""
+    rows = spark.range(110_000).selectExpr(
+        "1L AS user_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts", "CASE WHEN id % 11 = 0 THEN 'a' ELSE 'b' END AS kind"
+    )
+    made = (
+        Model(Connection(spark, rows=rows), "rows")
+        .with_attributes("ts")
+        .with_activity_schema(group=column("user_id"), timestamp=column("ts"), event_key=column("kind"))
+        .match_steps(["a", "b"], partition_start_events=[column("ts").named("began")])
+        .pick(column("began"), rel.b.ts.named("then"))
+        .spark_df()
+    )
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    found = made.selectExpr("count(*)", "sum(timestampdiff(SECOND, began, then))").first()
+    assert tuple(found) == (10_000, 10_000)
+
+
+def test_absence_needs_no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        c = Connection(spark, a=spark.range(10), b=spark.range(5))
+        made = Model(c, "a").filter(~column("id").in_(Model(c, "b").pick(column("id")))).spark_df()
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "LeftAnti" in plan
+        assert sorted(r[0] for r in made.collect()) == [5, 6, 7, 8, 9]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
