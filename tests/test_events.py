@@ -171,7 +171,7 @@ def test_one_exchange_however_many_steps(spark, tmp_path):
 def test_hot_group_of_partitioned_starts(spark):
     """Many starts and events in one group: one exchange, no join, space in proportion to the events."""
     rows = spark.range(110_000).selectExpr(
-        "1L AS user_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts", "CASE WHEN id % 11 = 0 THEN 'a' ELSE 'b' END AS kind"
+        "id div 1000000 AS user_id", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id) AS ts", "CASE WHEN id % 11 = 0 THEN 'a' ELSE 'b' END AS kind"
     )
     made = (
         Model(Connection(spark, rows=rows), "rows")
