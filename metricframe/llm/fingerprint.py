@@ -3,28 +3,30 @@
 A text is the set of its paragraphs (pieces between line ends and full stops),
 each a 64-bit digest.  A sketch has three tables of cells; a digest is added to
 one cell of each table, which holds a count, the XOR of its digests and the XOR
-of their checks.  Sketches are linear, so a version's sketch subtracts from
-another's cell by cell (in the sums here: its digests are added with the opposite
-sign), and common paragraphs vanish.  A cell with a count of one or minus one whose
+of their checks.  One family of sketches serves all: the published fingerprint has tables of
+:data:`PRINT_WIDTH` cells, and twice as wide ones refine it, two cells for each, so that a wider
+sketch folded is the fingerprint.
+
+Two versions are compared by their sketches.  The published ones are subtracted first: the
+squares of the counts that are left estimate how many digests differ.  Sketches with
+:data:`CELLS` cells for each of these are then made of both versions and subtracted cell by
+cell, so that common paragraphs vanish.  A cell with a count of one or minus one whose
 check fits its digest is *pure*: the digest is one that only one version has.
 Peeling notes it and takes it out of its other cells, which makes more cells pure,
-until none are left; what cannot be peeled is retried with four times the cells.
+until none are left; what cannot be peeled, as more differed than was expected, is retried
+with sketches :data:`RETRY` times as wide.  Likeness is the Jaccard index of the paragraph sets,
+whose sizes the counts give and whose difference has been recovered.
 
-The published fingerprint is the sketch of :data:`PRINT_CELLS` cells.  Comparison
-uses as many cells as the two texts' paragraphs ask for, and keeps only those that
-are in use.  Likeness is the Jaccard index of the paragraph sets, whose sizes are
-known and whose difference has been recovered.
-
-Rows are spread by ranges of ``doc_id``; a text moves once.  The next document is
-found by a window within its range, and the first document of each range is also
-sent to the range that follows it, so no sort is global.  All cell sums stay within
-their range's partition, where peeling runs as alternating flat-maps and sums: no
-further exchange, and nothing that depends on a document's length in one row.
+Rows are spread by ranges of ``doc_id`` and, among equal or null ones, of the hash of their
+text; a text moves once.  The next document is found by a window within its range, and the
+first document of each range is also sent to the range before it, so no sort is global.  All
+cell sums stay within their range's partition, where peeling runs as alternating flat-maps and
+sums: no further exchange, and nothing that depends on a document's length in one row.
 
 Defined cases: a null text is the empty text, whose one paragraph is empty; null
-``doc_id`` come last; rows that repeat a ``doc_id`` are in order of their text;
+``doc_id`` come last; rows that repeat a ``doc_id`` are in order of their text's hash;
 of a single row the next is itself; an empty table gives an empty result; further
-columns are ignored.
+columns are ignored; ``doc_id`` is a whole number.
 """
 
 from __future__ import annotations
@@ -37,12 +39,13 @@ from metricframe.llm.urlfilter import _range_of
 
 TABLES, PRINT_WIDTH = 3, 4
 PRINT_CELLS = TABLES * PRINT_WIDTH
-#: Cells a table for each paragraph of both versions, and at least; what a retry multiplies them by.
-SPARE, LEAST, RETRY = 2, 64, 4
-ROUNDS = 2
+#: Cells for each digest that is expected to differ, and what a retry multiplies them by.
+CELLS, RETRY = 2, 4
+#: Sweeps over the tables in which a comparison peels; what is left then is retried.
+SWEEPS = 2
 #: Ranges for each shuffle partition: the cells of a range are many times its texts' digests.
 RANGES = 4
-_LOWEST = -(2**63)
+_MOST = 2**63 - 1
 
 
 def paragraphs(text: Column) -> Column:
@@ -55,101 +58,117 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(F.lit(1), digest)
 
 
-def _cell(table: int, digest: Column, width: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(10 + table), digest), width).cast("int")
+def _cell(table: int | Column, digest: Column, width: Column | int) -> Column:
+    """A digest's place in a table.  Widths are powers of two: a wider sketch, folded, is the narrower one."""
+    return F.pmod(F.xxhash64(F.lit(10) + table, digest), F.lit(width) if isinstance(width, int) else width).cast("int")
 
 
-def sketch_text(digests: Column) -> Column:
-    """The fixed-size sketch as text: 4, 16 and 8 hexadecimal digits of count, digests and checks a cell."""
+def small_sketch(digests: Column) -> Column:
+    """The published sketch: an array of count, XOR of digests and XOR of checks of each cell."""
 
     def cell(i: Column) -> Column:
-        table, place = F.floor(i / PRINT_WIDTH), i % PRINT_WIDTH
-        mine = F.filter(digests, lambda d: F.pmod(F.xxhash64(F.lit(20) + table, d), F.lit(PRINT_WIDTH)) == place)
+        table, place = F.floor(i / PRINT_WIDTH).cast("int"), i % PRINT_WIDTH
+        mine = F.filter(digests, lambda d: _cell(table, d, PRINT_WIDTH) == place)
         xor = lambda get: F.aggregate(mine, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(get(d)))
-        return F.concat(
-            F.lpad(F.hex(F.size(mine) % 65536), 4, "0"),
-            F.lpad(F.hex(xor(lambda d: d)), 16, "0"),
-            F.lpad(F.hex(xor(lambda d: _check(d)).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"),
-        )
+        return F.struct(F.size(mine).alias("n"), xor(lambda d: d).alias("digest"), xor(_check).alias("check"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(PRINT_CELLS - 1)), cell)
+
+
+def sketch_text(sketch: Column) -> Column:
+    """The published sketch as text: 8, 16 and 16 hexadecimal digits of count, digests and checks a cell."""
+    hexed = lambda x, n: F.lpad(F.hex(x), n, "0")
+    return F.lower(F.array_join(F.transform(sketch, lambda c: F.concat(hexed(c["n"], 8), hexed(c["digest"], 16), hexed(c["check"], 16))), ""))
 
-    return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PRINT_CELLS - 1)), cell), ""))
+
+def expected_difference(a: Column, b: Column) -> Column:
+    """How many digests two published sketches differ in, estimated from the second moment of their subtracted counts.
+
+    In a table of ``w`` cells the expected sum of squares is ``d + (s * s - d) / w`` for ``d``
+    differing digests, ``s`` being the difference of the texts' numbers of digests.
+    """
+    counts = F.zip_with(a, b, lambda x, y: x["n"] - y["n"])
+    squares = F.aggregate(counts, F.lit(0).cast("double"), lambda t, n: t + n * n) / TABLES
+    total = F.aggregate(counts, F.lit(0).cast("double"), lambda t, n: t + n) / TABLES
+    return F.greatest((squares - total * total / PRINT_WIDTH) / (1 - 1 / PRINT_WIDTH), F.abs(total), F.lit(2.0))
 
 
 def _next_texts(docs: DataFrame, text: str, doc_id: str, ranges: int) -> DataFrame:
     """``(range, rn, doc_id, text, next_text)``: in descending ``doc_id``, the first follows the last."""
-    # A null doc_id is the lowest key; the key stands for it, so that all that is read from a
-    # range's partition is the same columns and one exchange serves every reader.
+    body = F.coalesce(F.col(text), F.lit(""))
+    # All that is read from a range's partition is the same columns, so that one exchange serves every reader.
     base = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_LOWEST)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")
+        F.col(doc_id).isNotNull().alias("named"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("key"),
+        F.shiftrightunsigned(F.xxhash64(body), 1).alias("tie"),
+        body.alias("text"),
     )
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = base.agg(F.percentile_approx("key", cuts or [0.5], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds)) if cuts else []
-    ranged = base.withColumn("range", _range_of(F.col("key"), bounds))
-    heads = sorted((r["range"], r["key"]) for r in ranged.groupBy("range").agg(F.max("key").alias("key")).collect())
-    # The first row of a range also ends the range above it; that of the highest ends the lowest.
-    follows = {key: heads[(i + 1) % len(heads)][0] for i, (_, key) in enumerate(heads)}
-    rows = ranged.withColumn("guest", F.lit(0))
-    if follows:
-        # Never null, so that no join adds a filter to one reader of the exchange only.
-        target = F.coalesce(*[F.when(F.col("key") == k, F.lit(r)) for k, r in follows.items()], F.lit(0))
-        guests = base.filter(F.col("key").isin(list(follows))).withColumn("range", target).withColumn("guest", F.lit(1))
+    digits = lambda x: F.lpad(F.hex(x), 16, "0")
+    code = F.concat(F.when(F.col("named"), "0").otherwise("1"), digits(F.col("key").bitwiseXOR(F.lit(_MOST))), digits(F.col("tie")))
+    coded = base.withColumn("code", code)
+    # One row a range.  Rows of one doc_id, or without one, are spread by the hash of their text.
+    bounds = sorted(r["code"] for r in coded.select("code").repartitionByRange(ranges, "code").groupBy(F.spark_partition_id()).agg(F.min("code").alias("code")).collect())
+    rows = coded.withColumn("range", _range_of(F.col("code"), bounds[1:])).withColumn("guest", F.lit(0))
+    if bounds:
+        # The first row of a range also ends the range before it; that of the first ends the last.
+        heads = docs.sparkSession.createDataFrame([(b, (i - 1) % len(bounds)) for i, b in enumerate(bounds)], "code string, range int")
+        guests = coded.join(F.broadcast(heads), "code").withColumn("guest", F.lit(1))
         rows = rows.unionByName(guests)
-    order = Window.partitionBy("range").orderBy("guest", F.desc("key"), "text")
-    spread = rows.repartition(ranges, "range")
+    order = Window.partitionBy("range").orderBy("guest", F.desc("named"), F.desc("key"), "tie", "text")
+    spread = rows.drop("code").repartition(ranges, "range")
     led = spread.withColumn("rn", F.row_number().over(order)).withColumn("next_text", F.lead("text").over(order))
-    named = F.when(F.col("key") != _LOWEST, F.col("key")).alias("doc_id")
-    return led.filter("guest = 0").select("range", "rn", named, "text", "next_text")
+    return led.filter("guest = 0").select("range", "rn", F.when(F.col("named"), F.col("key")).alias("doc_id"), "text", "next_text")
 
 
-def _compared(pairs: DataFrame, scale: int) -> DataFrame:
-    """``(range, rn, pair, plus, minus, left)`` from ``(range, rn, a, b0, b1, ...)`` digest sets.
+def _cells(versions: DataFrame) -> DataFrame:
+    """The sketches, a row a cell in use, of ``(range, rn, width, a, b0, b1)``: ``version`` is 0 for ``a``, 1 for ``b0`` and 2 for ``b1``."""
+
+    def of(version: int, digests: str) -> Column:
+        return F.transform(digests, lambda d: F.struct(F.lit(version).alias("version"), d.alias("digest")))
+
+    held = versions.select("range", "rn", "width", F.explode(F.concat(of(0, "a"), of(1, "b0"), of(2, "b1"))).alias("x")).select("range", "rn", "width", "x.*")
+    digest, width = F.col("digest"), F.col("width")
+    places = [F.struct(F.lit(t).alias("table"), _cell(t, digest, width).alias("place")) for t in range(TABLES)]
+    placed = held.select("range", "rn", "width", "version", "digest", _check(digest).alias("check"), F.inline(F.array(*places)))
+    return placed.groupBy("range", "rn", "width", "version", "table", "place").agg(
+        F.count("*").alias("n"), F.expr("bit_xor(digest)").alias("digest"), F.expr("bit_xor(check)").alias("check")
+    )
 
-    ``plus`` and ``minus`` are the numbers of recovered digests that only the first and
-    only the second version has, ``left`` that of the cells that could not be peeled.
-    """
-    others = [c for c in pairs.columns if c.startswith("b")]
-
-    def entries(side: str, pair: int, width: Column, sign: int) -> Column:
-        return F.transform(
-            side,
-            lambda d: F.struct(
-                F.lit(pair).alias("pair"), width.alias("width"), F.lit(sign).cast("long").alias("n"), d.alias("digest")
-            ),
-        )
 
-    signed = []
-    for i, other in enumerate(others):
-        width = ((F.size("a") + F.size(other)) * SPARE + LEAST) * scale
-        signed += [entries("a", i, width, 1), entries(other, i, width, -1)]
-    added = pairs.select("range", "rn", F.explode(F.concat(*signed)).alias("x")).select("range", "rn", "x.*")
+def _compared(versions: DataFrame) -> DataFrame:
+    """``(range, rn, pair, plus, minus, left)`` of the pairs ``a`` and ``b0`` (0), ``a`` and ``b1`` (1).
+
+    The second sketch is subtracted from the first cell by cell.  ``plus`` and ``minus``
+    are the numbers of recovered digests that only the first and only the second version
+    has, ``left`` that of the cells that could not be peeled.
+    """
+    keys = ["range", "rn", "width", "pair", "table", "place"]
 
     def entry(table: Column, place: Column, n: Column, digest: Column, check: Column) -> Column:
         return F.struct(
             table.cast("int").alias("table"), place.alias("place"), n.alias("n"), digest.alias("digest"), check.alias("check")
         )
 
-    def summed(rows: DataFrame, entries: Column) -> DataFrame:
-        keys = ["range", "rn", "pair", "width", "table", "place"]
+    def summed(rows: DataFrame) -> DataFrame:
         return (
-            rows.select("range", "rn", "pair", "width", F.explode(entries).alias("e"))
-            .select("range", "rn", "pair", "width", "e.*")
-            .groupBy(*keys)
+            rows.groupBy(*keys)
             .agg(F.sum("n").alias("n"), F.expr("bit_xor(digest)").alias("digest"), F.expr("bit_xor(check)").alias("check"))
             .filter("n <> 0 or digest <> 0 or check <> 0")
         )
 
+    pair = F.when(F.col("version") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("version") - 1))
+    signed = F.when(F.col("version") == 0, F.col("n")).otherwise(-F.col("n")).alias("n")
+    cells = summed(_cells(versions).select("range", "rn", "width", F.explode(pair).alias("pair"), "table", "place", signed, "digest", "check"))
     digest, width = F.col("digest"), F.col("width")
-    places = [entry(F.lit(t), _cell(t, digest, width), F.col("n"), digest, _check(digest)) for t in range(TABLES)]
-    cells = summed(added, F.array(*places))
     zero = F.lit(0).cast("long")
-    for table in [t for _ in range(ROUNDS) for t in range(TABLES)]:
+    for table in [t for _ in range(SWEEPS) for t in range(TABLES)]:
         # A digest is in one cell of a table, so that taking one table at a time notes none twice.
         pure = (F.col("table") == table) & (F.abs("n") == 1) & (F.col("check") == _check(digest))
         out = [entry(F.lit(t), _cell(t, digest, width), -F.col("n"), digest, F.col("check")) for t in range(TABLES) if t != table]
         noted = entry(F.when(F.col("n") > 0, TABLES).otherwise(TABLES + 1), F.lit(0), F.lit(1).cast("long"), zero, zero)
         same = entry(F.col("table"), F.col("place"), F.col("n"), digest, F.col("check"))
-        cells = summed(cells, F.when(pure, F.array(*out, noted)).otherwise(F.array(same)))
+        entries = F.when(pure, F.array(*out, noted)).otherwise(F.array(same))
+        cells = summed(cells.select("range", "rn", "width", "pair", F.explode(entries).alias("e")).select("range", "rn", "width", "pair", "e.*"))
     tally = lambda t: F.sum(F.when(F.col("table") == t, F.col("n")).otherwise(0))
     return cells.groupBy("range", "rn", "pair").agg(
         tally(TABLES).alias("plus"),
@@ -171,7 +190,7 @@ def _likeness(a: str, b: str, d: Column) -> Column:
     return (F.size(a) + F.size(b) - d) / (F.size(a) + F.size(b) + d)
 
 
-def _settle(base: DataFrame, scale: int, label: str) -> DataFrame:
+def _settle(base: DataFrame, label: str) -> DataFrame:
     """``base`` with the likenesses of ``a`` to ``b0`` and ``b1``; digests stay only with rows that failed."""
     spark: SparkSession = base.sparkSession
     # Both sides of the join lie in the same partitions by range, which is part of its key.
@@ -179,7 +198,7 @@ def _settle(base: DataFrame, scale: int, label: str) -> DataFrame:
     was = spark.conf.get(conf)
     spark.conf.set(conf, "false")
     try:
-        diff = _side(_compared(base.select("range", "rn", "a", "b0", "b1"), scale), 2)
+        diff = _side(_compared(base.select("range", "rn", "width", "a", "b0", "b1")), 2)
         joined = base.join(diff, ["range", "rn"], "left")
         failed = F.coalesce("failed", F.lit(False))
         near = [_likeness("a", f"b{i}", F.coalesce(f"d{i}", F.lit(0))).alias(f"near{i}") for i in (0, 1)]
@@ -191,16 +210,15 @@ def _settle(base: DataFrame, scale: int, label: str) -> DataFrame:
 
 
 def compare_versions(base: DataFrame) -> DataFrame:
-    """``(range, rn, a, b0, b1, ...)`` to ``near0``, ``near1`` and the other columns, retrying larger until all is peeled."""
-    done, scale = [], 1
+    """``(range, rn, width, a, b0, b1, ...)`` to ``near0``, ``near1`` and the other columns, retrying larger until all is peeled."""
+    done = []
     while True:
-        settled = _settle(base, scale, "fingerprints")
-        done.append(settled.filter("not failed").drop("failed", "a", "b0", "b1"))
+        settled = _settle(base, "fingerprints")
+        done.append(settled.filter("not failed").drop("failed", "width", "a", "b0", "b1"))
         left = settled.filter("failed")
         if left.isEmpty():
             break
-        again = left.drop("failed", "near0", "near1")
-        scale *= RETRY
+        again = left.drop("failed", "near0", "near1").withColumn("width", F.col("width") * RETRY)
         base = again.repartition(F.col("range"))
     found = done[0]
     for more in done[1:]:
@@ -232,10 +250,14 @@ def fingerprint_versions(docs: DataFrame, text: str = "text", doc_id: str = "doc
             paragraphs(F.col("edited")).alias("b0"),
             paragraphs(F.col("next_text")).alias("b1"),
         )
-        .withColumn("fingerprint", sketch_text(F.col("a")))
-        .withColumn("edited_fingerprint", sketch_text(F.col("b0")))
+        .withColumns({f"s{c}": small_sketch(F.col(c)) for c in ("a", "b0", "b1")})
     )
-    return compare_versions(base).select(
+    expected = F.greatest(expected_difference(F.col("sa"), F.col("sb0")), expected_difference(F.col("sa"), F.col("sb1")))
+    # The published width is doubled until there are cells enough.
+    doubled = F.ceil(F.log2(expected * CELLS / PRINT_CELLS))
+    width = (F.lit(PRINT_WIDTH) * F.pow(F.lit(2), F.greatest(doubled, F.lit(0)))).cast("long")
+    sketched = base.withColumn("width", width).withColumn("fingerprint", sketch_text(F.col("sa"))).withColumn("edited_fingerprint", sketch_text(F.col("sb0")))
+    return compare_versions(sketched.drop("sa", "sb0", "sb1")).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
@@ -244,5 +266,3 @@ def fingerprint_versions(docs: DataFrame, text: str = "text", doc_id: str = "doc
         F.col("near0").alias("near_edited"),
         F.col("near1").alias("near_next"),
     )
-
-

@@ -17,7 +17,8 @@ The sweep is cut into key ranges.  Their bounds come from Spark's own range
 partitioning of the distinct keys with their counts; an interval puts its begin
 event into every range that it reaches into.  A range with more rows than its
 share, such as one hot host, is salted into several sweeps, each with all events
-of the range.  No task ever holds more than its share of urls, and the driver
+of the range; rows take turns, so equal ones are spread too, and as a salt changes no
+result, rows that a lost executor made again may get others.  No task ever holds more than its share of urls, and the driver
 gets one key and count a range.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and
@@ -31,6 +32,7 @@ columns named like the new ones are replaced, others pass through.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,15 +61,15 @@ def host_key(host: Column) -> Column:
 
 
 def _range_of(key: Column, bounds: Sequence[str]) -> Column:
-    """The number of bounds that are not above the key, by bisection."""
-
-    def pick(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < F.lit(bounds[middle]), pick(low, middle)).otherwise(pick(middle + 1, high))
-
-    return pick(0, len(bounds))
+    """The number of the sorted bounds that are not above the key, in two looks: among every so many bounds, then between two of them."""
+    if not bounds:
+        return F.lit(0)
+    wide = math.isqrt(len(bounds) - 1) + 1
+    lists = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    under = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    coarse = under(F.array(*[F.lit(x[0]) for x in lists]))
+    fine = F.array(*[F.array(*[F.lit(b) for b in x]) for x in lists])
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * wide + under(F.element_at(fine, F.greatest(coarse, F.lit(1)))))
 
 
 def judge(
@@ -114,11 +116,9 @@ def judge(
         more = {i: n for i, n in enumerate(salts) if n > 1}
         return F.coalesce(*[F.when(number == i, F.lit(n)) for i, n in more.items()], F.lit(1))
 
-    # Any columns do to spread equal keys; those that cannot be hashed don't count.
-    spreading = [F.col(f"row.`{c}`") for c in kept if "map<" not in urls.schema[c].dataType.simpleString()] or [F.col("key")]
     rows = parsed.withColumn("range", _range_of(F.col("key"), bounds)).select(
         "range",
-        F.pmod(F.xxhash64(*spreading), salted(F.col("range"))).cast("int").alias("salt"),
+        F.pmod(F.monotonically_increasing_id(), salted(F.col("range"))).cast("int").alias("salt"),
         "key",
         F.lit(1).alias("turn"),
         F.lit(None).cast("int").alias("depth"),

@@ -217,17 +217,43 @@ def test_fingerprints(docs, empty):
     assert fingerprint.fingerprint_versions(empty).count() == 0
 
 
+def test_published_fingerprints_subtract(spark):
+    """One differing paragraph: each table's counts and XORs differ in just its cells, which hold its digest and check."""
+    rng = random.Random(61)
+    common = [prose(rng, 5) for _ in range(40)]
+    rows = [(1, "\n".join(common)), (2, "\n".join([*common, "one more paragraph"]))]
+    found = {r["doc_id"]: r for r in fingerprint.fingerprint_versions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    cells = lambda t: [(int(t[i : i + 8], 16), int(t[i + 8 : i + 24], 16), int(t[i + 24 : i + 40], 16)) for i in range(0, len(t), 40)]
+    left = [(b[0] - a[0], a[1] ^ b[1], a[2] ^ b[2]) for a, b in zip(cells(found[1]["fingerprint"]), cells(found[2]["fingerprint"]), strict=True)]
+    pure = [c for c in left if any(c)]
+    assert len(pure) == 3 and len(set(pure)) == 1 and pure[0][0] == 1
+    assert found[2]["near_next"] == pytest.approx(brute.likeness(rows[1][1], rows[0][1]))
+
+
 def test_fingerprints_retry_larger(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "SPARE", 0)
-    monkeypatch.setattr(fingerprint, "LEAST", 2)
+    """Of many texts some differ more than their small sketches tell, and are retried."""
+    rounds = []
+    settle = fingerprint._settle
+    monkeypatch.setattr(fingerprint, "_settle", lambda base, label: rounds.append(1) or settle(base, label))
     rng = random.Random(6)
-    rows = [(i, ". ".join(prose(rng, 4) for _ in range(12))) for i in range(12)]
+    rows = [(i, ". ".join(prose(rng, 4) for _ in range(rng.randint(1, 60)))) for i in range(300)] + [(-(2**63), "least id"), (2**63 - 1, "most. id")]
     found = {r["doc_id"]: r for r in fingerprint.fingerprint_versions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rounds) > 1 and len(found) == len(rows)
     for doc_id, text, edited, after in brute.edited(rows):
+        assert found[doc_id]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert found[doc_id]["near_edited"] == pytest.approx(brute.likeness(text, edited))
         assert found[doc_id]["near_next"] == pytest.approx(brute.likeness(text, after))
 
 
+def test_fingerprints_of_hot_and_missing_ids(spark):
+    rng = random.Random(16)
+    rows = [(None if i % 3 else 5, prose(rng, 12)) for i in range(300)] + [(5, "same"), (5, "same"), (None, None)]
+    table = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, range string, a int")
+    found = fingerprint.fingerprint_versions(table).collect()
+    assert len(found) == len(rows) and sum(r["doc_id"] is None for r in found) == sum(i is None for i, _ in rows)
+    assert sum(r["near_next"] == 1.0 for r in found) >= 1
+
+
 def test_fingerprint_of_a_single_row(spark):
     found = fingerprint.fingerprint_versions(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert found["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest() and found["near_next"] == 1.0
