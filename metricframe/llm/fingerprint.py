@@ -108,11 +108,12 @@ def _next_texts(docs: DataFrame, text: str, doc_id: str, ranges: int) -> DataFra
     coded = base.withColumn("code", code)
     # One row a range.  Rows of one doc_id, or without one, are spread by the hash of their text.
     bounds = sorted(r["code"] for r in coded.select("code").repartitionByRange(ranges, "code").groupBy(F.spark_partition_id()).agg(F.min("code").alias("code")).collect())
-    rows = coded.withColumn("range", _range_of(F.col("code"), bounds[1:])).withColumn("guest", F.lit(0))
+    # A range is never null, so that no join adds a filter to one reader of the exchange only.
+    rows = coded.withColumn("range", F.coalesce(_range_of(F.col("code"), bounds[1:]), F.lit(0))).withColumn("guest", F.lit(0))
     if bounds:
         # The first row of a range also ends the range before it; that of the first ends the last.
-        heads = docs.sparkSession.createDataFrame([(b, (i - 1) % len(bounds)) for i, b in enumerate(bounds)], "code string, range int")
-        guests = coded.join(F.broadcast(heads), "code").withColumn("guest", F.lit(1))
+        first = F.get(F.array(*[F.lit(b) for b in bounds]), F.col("range"))
+        guests = rows.filter(F.col("code") == first).withColumn("range", F.coalesce(F.pmod(F.col("range") - 1, F.lit(len(bounds))), F.lit(0))).withColumn("guest", F.lit(1))
         rows = rows.unionByName(guests)
     order = Window.partitionBy("range").orderBy("guest", F.desc("named"), F.desc("key"), "tie", "text")
     spread = rows.drop("code").repartition(ranges, "range")
