@@ -135,11 +135,12 @@ def simhash_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: of each group the smallest ``doc_id`` stays, once.
+    """The rows of ``docs`` less near-duplicates: of each group the smallest ``doc_id`` stays.
 
-    Rows with a null ``doc_id`` cannot be grouped and stay.
+    Its rows stay once for each different text that they have.  Rows with a null
+    ``doc_id`` cannot be grouped and stay.
     """
     groups = simhash_groups(docs, text, doc_id)
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id]).select(*docs.columns)
+    named = docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id, text]).select(*docs.columns)
     return named.unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -60,3 +60,16 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path):
         made = stage(spark, table, str(tmp_path))
         assert made.columns == table.columns
         assert stage(spark, table.limit(0), str(tmp_path)).count() == 0
+
+
+def test_repeated_and_missing_ids(spark, tmp_path):
+    """No text is lost to another of the same id, and no contaminated row stays for want of one."""
+    _, items = corpus()
+    leak = f"before it {items[0]} and after"
+    rows = [(1, "ka lo mi no pu and so on"), (1, "schein ung lich zwei or else"), (1, "schein ung lich zwei or else"), (2, leak), (None, leak), (None, "ka lo")]
+    table = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], SCHEMA)
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(r["text"] for r in stages["near_duplicates"](spark, table, "").collect() if r["doc_id"] == 1) == sorted({t for i, t in rows if i == 1})
+    left = stages["decontamination"](spark, table, str(tmp_path)).collect()
+    assert len(left) == 4 and leak not in {r["text"] for r in left}
