@@ -1,7 +1,7 @@
 """A training-corpus pipeline: five of the text operators in a row, each over all that its predecessor kept.
 
-Every stage but the last returns the columns of ``documents``.  Rows that a stage
-cannot judge for want of a ``doc_id`` stay.
+Every stage but the last returns the columns of ``documents``.  Rows without a ``doc_id``
+stay in the near-duplicate stage, which cannot group them; the other stages judge texts.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricframe.llm import bpe, decontaminate, entries, langid, secrets, simhash
-from metricframe.llm.storage import importable, materialize
+from metricframe.llm.storage import importable, materialize, release
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,5 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
