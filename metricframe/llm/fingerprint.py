@@ -64,15 +64,28 @@ def _cell(table: int | Column, digest: Column, width: Column | int) -> Column:
 
 
 def small_sketch(digests: Column) -> Column:
-    """The published sketch: an array of count, XOR of digests and XOR of checks of each cell."""
+    """The published sketch: an array of count, XOR of digests and XOR of checks of each cell.
 
-    def cell(i: Column) -> Column:
-        table, place = F.floor(i / PRINT_WIDTH).cast("int"), i % PRINT_WIDTH
-        mine = F.filter(digests, lambda d: _cell(table, d, PRINT_WIDTH) == place)
-        xor = lambda get: F.aggregate(mine, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(get(d)))
-        return F.struct(F.size(mine).alias("n"), xor(lambda d: d).alias("digest"), xor(_check).alias("check"))
+    Each digest is hashed once for a table, and each cell's digests are picked once: an
+    expression that is named by a function's argument is evaluated once, one that is repeated
+    may be evaluated every time.
+    """
+    hashed = F.transform(
+        digests,
+        lambda d: F.struct(d.alias("digest"), _check(d).alias("check"), *[_cell(t, d, PRINT_WIDTH).alias(f"place{t}") for t in range(TABLES)]),
+    )
+
+    def cell(mine: Column) -> Column:
+        xor = lambda name: F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x[name]))
+        return F.struct(F.size(mine).alias("n"), xor("digest").alias("digest"), xor("check").alias("check"))
+
+    def picked(held: Column, table: int, place: int) -> Column:
+        return F.filter(held, lambda x: x[f"place{table}"] == place)
+
+    def cells(held: Column) -> Column:
+        return F.transform(F.array(*[picked(held, t, p) for t in range(TABLES) for p in range(PRINT_WIDTH)]), cell)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(PRINT_CELLS - 1)), cell)
+    return F.transform(F.array(hashed), cells)[0]
 
 
 def sketch_text(sketch: Column) -> Column:
@@ -122,18 +135,24 @@ def _next_texts(docs: DataFrame, text: str, doc_id: str, ranges: int) -> DataFra
 
 
 def _cells(versions: DataFrame) -> DataFrame:
-    """The sketches, a row a cell in use, of ``(range, rn, width, a, b0, b1)``: ``version`` is 0 for ``a``, 1 for ``b0`` and 2 for ``b1``."""
+    """The three sketches of each row, a row a place that any uses: counts ``n0`` to ``n2``, XORs ``digest0`` and so on, ``check0`` and so on.
+
+    Sketch 0 is that of ``a``, 1 that of ``b0`` and 2 that of ``b1``; ``versions`` has ``range``, ``rn``, ``width`` and these.
+    """
 
     def of(version: int, digests: str) -> Column:
         return F.transform(digests, lambda d: F.struct(F.lit(version).alias("version"), d.alias("digest")))
 
-    held = versions.select("range", "rn", "width", F.explode(F.concat(of(0, "a"), of(1, "b0"), of(2, "b1"))).alias("x")).select("range", "rn", "width", "x.*")
+    row = ["range", "rn", "width"]
+    held = versions.select(*row, F.explode(F.concat(of(0, "a"), of(1, "b0"), of(2, "b1"))).alias("x")).select(*row, "x.*")
     digest, width = F.col("digest"), F.col("width")
     places = [F.struct(F.lit(t).alias("table"), _cell(t, digest, width).alias("place")) for t in range(TABLES)]
-    placed = held.select("range", "rn", "width", "version", "digest", _check(digest).alias("check"), F.inline(F.array(*places)))
-    return placed.groupBy("range", "rn", "width", "version", "table", "place").agg(
-        F.count("*").alias("n"), F.expr("bit_xor(digest)").alias("digest"), F.expr("bit_xor(check)").alias("check")
-    )
+    placed = held.select(*row, "version", "digest", _check(digest).alias("check"), F.inline(F.array(*places)))
+    sums = []
+    for v in range(3):
+        mine = lambda x, v=v: F.when(F.col("version") == v, x).otherwise(F.lit(0).cast("long"))
+        sums += [F.sum(mine(F.lit(1).cast("long"))).alias(f"n{v}"), F.bit_xor(mine(digest)).alias(f"digest{v}"), F.bit_xor(mine(F.col("check"))).alias(f"check{v}")]
+    return placed.groupBy(*row, "table", "place").agg(*sums)
 
 
 def _compared(versions: DataFrame) -> DataFrame:
@@ -150,16 +169,14 @@ def _compared(versions: DataFrame) -> DataFrame:
             table.cast("int").alias("table"), place.alias("place"), n.alias("n"), digest.alias("digest"), check.alias("check")
         )
 
-    def summed(rows: DataFrame) -> DataFrame:
-        return (
-            rows.groupBy(*keys)
-            .agg(F.sum("n").alias("n"), F.expr("bit_xor(digest)").alias("digest"), F.expr("bit_xor(check)").alias("check"))
-            .filter("n <> 0 or digest <> 0 or check <> 0")
-        )
+    used = "n <> 0 or digest <> 0 or check <> 0"
+
+    def subtracted(i: int) -> Column:
+        xor = lambda x: F.col(f"{x}0").bitwiseXOR(F.col(f"{x}{i + 1}")).alias(x)
+        return F.struct(F.lit(i).alias("pair"), (F.col("n0") - F.col(f"n{i + 1}")).alias("n"), xor("digest"), xor("check"))
 
-    pair = F.when(F.col("version") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("version") - 1))
-    signed = F.when(F.col("version") == 0, F.col("n")).otherwise(-F.col("n")).alias("n")
-    cells = summed(_cells(versions).select("range", "rn", "width", F.explode(pair).alias("pair"), "table", "place", signed, "digest", "check"))
+    sketches = _cells(versions)
+    cells = sketches.select("range", "rn", "width", "table", "place", F.inline(F.array(subtracted(0), subtracted(1)))).filter(used)
     digest, width = F.col("digest"), F.col("width")
     zero = F.lit(0).cast("long")
     for table in [t for _ in range(SWEEPS) for t in range(TABLES)]:
@@ -169,7 +186,9 @@ def _compared(versions: DataFrame) -> DataFrame:
         noted = entry(F.when(F.col("n") > 0, TABLES).otherwise(TABLES + 1), F.lit(0), F.lit(1).cast("long"), zero, zero)
         same = entry(F.col("table"), F.col("place"), F.col("n"), digest, F.col("check"))
         entries = F.when(pure, F.array(*out, noted)).otherwise(F.array(same))
-        cells = summed(cells.select("range", "rn", "width", "pair", F.explode(entries).alias("e")).select("range", "rn", "width", "pair", "e.*"))
+        peeled = cells.select("range", "rn", "width", "pair", F.explode(entries).alias("e")).select("range", "rn", "width", "pair", "e.*")
+        sums = [F.sum("n").alias("n"), F.bit_xor("digest").alias("digest"), F.bit_xor("check").alias("check")]
+        cells = peeled.groupBy(*keys).agg(*sums).filter(used)
     tally = lambda t: F.sum(F.when(F.col("table") == t, F.col("n")).otherwise(0))
     return cells.groupBy("range", "rn", "pair").agg(
         tally(TABLES).alias("plus"),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
+import operator
 import random
 
 import numpy as np
@@ -245,6 +247,30 @@ def test_fingerprints_retry_larger(spark, monkeypatch):
         assert found[doc_id]["near_next"] == pytest.approx(brute.likeness(text, after))
 
 
+def test_published_sketch_hashes_outside_its_cells(spark):
+    """Picking the digests of a cell compares places; hashing there would be done for every cell again."""
+    shown = str(fingerprint.small_sketch(fingerprint.F.col("a")))
+    picks = shown.split("filter(")[1:]
+    assert len(picks) == fingerprint.PRINT_CELLS and all("xxhash64" not in x for x in picks)
+    digests = [3 * i - 50 for i in range(40)]
+    sketch = spark.createDataFrame([(digests,), ([],)], "a array<long>").select(fingerprint.small_sketch(fingerprint.F.col("a")).alias("s")).collect()
+    cells = [[sketch[0]["s"][t * fingerprint.PRINT_WIDTH + p] for p in range(fingerprint.PRINT_WIDTH)] for t in range(fingerprint.TABLES)]
+    xor = functools.reduce(operator.xor, digests)
+    assert all(sum(c["n"] for c in table) == 40 and functools.reduce(operator.xor, (c["digest"] for c in table)) == xor for table in cells)
+    assert {(c["n"], c["digest"], c["check"]) for c in sketch[1]["s"]} == {(0, 0, 0)}
+
+
+def test_sketches_of_three_versions_share_a_row_a_place(spark):
+    rows = [(0, 1, 8, list(range(10)), list(range(5, 20)), [7])]
+    cells = fingerprint._cells(spark.createDataFrame(rows, "range int, rn int, width long, a array<long>, b0 array<long>, b1 array<long>")).collect()
+    assert len(cells) == len({(c["table"], c["place"]) for c in cells}) <= 8 * fingerprint.TABLES
+    for table in range(fingerprint.TABLES):
+        mine = [c for c in cells if c["table"] == table]
+        for version, digests in enumerate(rows[0][3:]):
+            assert sum(c[f"n{version}"] for c in mine) == len(digests)
+            assert functools.reduce(operator.xor, (c[f"digest{version}"] for c in mine)) == functools.reduce(operator.xor, digests)
+
+
 def test_fingerprints_of_hot_and_missing_ids(spark):
     rng = random.Random(16)
     rows = [(None if i % 3 else 5, prose(rng, 12)) for i in range(300)] + [(5, "same"), (5, "same"), (None, None)]
