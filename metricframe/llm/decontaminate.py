@@ -130,7 +130,7 @@ def _notes(body: np.ndarray, begins: np.ndarray, number: int, steps: int) -> np.
     at, noted = begins.astype(np.intp), np.empty((steps, len(begins)), np.uint8)
     for step in range(steps):
         np.take(body, at, out=noted[step], mode="clip")
-        at += _GOES[number, step][noted[step]]
+        at += _GOES[number, step].take(noted[step])
     return noted
 
 
@@ -185,7 +185,9 @@ class Index:
         own = np.searchsorted(bounds, begins, side="right") - 1
         padded = np.concatenate([body, np.zeros(STEPS, np.uint8)])
         walks = [walk(padded, begins, number, size.steps) for number in range(WALKS)]
-        bits = min(26, max(16, int(len(begins) * len(chosen) * 8).bit_length()))
+        # Where it is small, four times as many places as the others need: fewer windows are looked up in vain.
+        slots = len(begins) * len(chosen) * 8
+        bits = max(16, min(26, slots.bit_length()), min(22, (slots * 4).bit_length()))
         bitmap = np.zeros(1 << bits, bool)
         keys, owners, offsets = [], [], []
         for r, (number, steps) in enumerate(chosen):

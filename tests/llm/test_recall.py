@@ -57,3 +57,10 @@ def test_verbatim_items_are_found(lengths):
     rng = random.Random(lengths[0])
     items = [prose(rng, rng.randint(*lengths)) for _ in range(200)]
     assert share_found(rng, items, lambda n: 0) == 1
+
+
+def test_few_windows_are_looked_up_in_vain():
+    rng = np.random.default_rng(41)
+    rows = [(i, "".join(rng.choice(list("etaoin shrdlu cmf"), 70 + i))) for i in range(200)]
+    for index in decontaminate.Items.build(rows).indexes:
+        assert 0 < index.bitmap.mean() < 0.04 and len(index.bitmap) == 1 << index.bits
