@@ -8,10 +8,14 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a batch that goes to Python, where :func:`small_batches` says so.
+BATCH_BYTES = 2 << 20
 _OWN: dict[str, str] = {}
 #: What is written and not yet released: path to the Hadoop path and its file system.
 _LIVE: dict[str, tuple] = {}
@@ -49,6 +53,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python in batches of about :data:`BATCH_BYTES` for what is run inside, unless the session has a limit of its own.
+
+    Else a batch is 10000 rows, tens of MB of texts, which a task holds several times over
+    outside the heap: in the vector, in the buffer it is written to and in the worker.
+    """
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(conf, None) is not None:
+        yield
+        return
+    spark.conf.set(conf, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(conf)
+
+
 def _delete(path: str) -> None:
     target, system = _LIVE.pop(path)
     system.delete(target, True)

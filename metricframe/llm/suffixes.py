@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricframe.llm.storage import materialize, release
+from metricframe.llm.storage import materialize, release, small_batches
 from metricframe.llm.textbuf import LOWER, SPACES, lots, minimisers, mix, shingles, words
 
 LEAST, GRAM = 50, 20
@@ -44,6 +44,8 @@ NEAR = LEAST - GRAM + 1
 LEFT = NEAR - 1
 #: Suffixes that are settled together; a run of more is cut.
 BLOCK = 16_000
+#: Bytes of texts whose words are hashed together, with several arrays of eight bytes for each.
+LOT = 1 << 17
 _SEED = "key long, row long, pos int"
 _SUFFIX = "row long, doc_id long, pos int, right binary, left binary"
 _SPAN = "row long, doc_id long, start int, end int, other long"
@@ -64,7 +66,7 @@ def seeds(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = part.column(0).to_numpy(zero_copy_only=False)
-            for first, last, raw, offsets in lots(part.column(1)):
+            for first, last, raw, offsets in lots(part.column(1), LOT):
                 hashes, _, _, begin = words(raw, offsets, LOWER, SPACES)
                 if not len(hashes):
                     continue
@@ -92,7 +94,7 @@ def _contexts(placed: DataFrame) -> DataFrame:
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows, ids, places = part.column(0), part.column(1), part.column(3)
-            for first, last, raw, offsets in lots(part.column(2)):
+            for first, last, raw, offsets in lots(part.column(2), LOT):
                 hashes, _, _, begin = words(raw, offsets, LOWER, SPACES)
                 short = (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
                 held = places.slice(first, last - first)
@@ -288,10 +290,12 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block:
     a ``doc_id`` that holds one of them too, the least of those it was settled with.
     """
     spark = docs.sparkSession
-    found = materialize(seeds(docs, text, doc_id), "suffix-seeds")
+    with small_batches(spark):
+        found = materialize(seeds(docs, text, doc_id), "suffix-seeds")
     again = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     places = found.join(again, "key").groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    suffixes = materialize(_contexts(_keyed(docs, text, doc_id).join(places, "row")), "suffixes")
+    with small_batches(spark):
+        suffixes = materialize(_contexts(_keyed(docs, text, doc_id).join(places, "row")), "suffixes")
     release(found)
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by = ["right", "row", "pos"]

@@ -10,11 +10,13 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from metricframe.llm import bpe, components, decontaminate, entries, fingerprint, langid, licenses, secrets, simhash, suffixes
-from metricframe.llm.storage import importable
+from metricframe.llm.storage import BATCH_BYTES, importable, materialize
 from metricframe.llm.trigrams import trigram_query
 from tests.llm import brute
 
@@ -437,3 +439,28 @@ def test_repeats_of_a_row_given_twice(spark):
     text = prose(random.Random(1), 90)
     found = suffixes.repeats(spark.createDataFrame([(1, text), (1, text), (2, "short")], "doc_id long, text string")).collect()
     assert [(r["doc_id"], [tuple(s) for s in r["spans"]]) for r in found] == [(1, [(0, 90)])]
+
+
+def test_repeats_take_texts_in_small_batches(spark, monkeypatch):
+    """What one batch of texts holds while the seeds and the suffixes are made, of 15 MB in one partition."""
+    importable(spark)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 5000).alias("text"))
+    seen = {}
+
+    def largest():
+        def sizes(parts):
+            for part in parts:
+                yield pa.RecordBatch.from_arrays([pa.array([part.nbytes])], names=["n"])
+
+        return max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect())
+
+    def noted(df, label):
+        seen[label] = largest()
+        return materialize(df, label)
+
+    before = largest()
+    monkeypatch.setattr(suffixes, "materialize", noted)
+    text = prose(random.Random(1), 90)
+    found = suffixes.repeats(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["twin"]) for r in found) == [(1, 2), (2, 1)]
+    assert max(seen["suffix-seeds"], seen["suffixes"]) < 2 * BATCH_BYTES < before == largest()
